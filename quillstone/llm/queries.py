@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .packing import op2_packing
 from .token_files import op1_token_files
 
-QUERIES = {"op1_token_files": op1_token_files}
+QUERIES = {"op1_token_files": op1_token_files, "op2_packing": op2_packing}
 ORACLES: dict[str, str] = {}
