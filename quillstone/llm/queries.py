@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .mixing import OP9_SQL, op9_mixing
 from .packing import op2_packing
 from .token_files import op1_token_files
+from .urlfilter import op8_url_filter
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_packing": op2_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_token_files": op1_token_files, "op2_packing": op2_packing, "op8_url_filter": op8_url_filter, "op9_mixing": op9_mixing}
+ORACLES = {"op9_mixing": OP9_SQL}
