@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from .fingerprints import op7_fingerprints
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op2_packing
 from .token_files import op1_token_files
 from .urlfilter import op8_url_filter
+from .vafile import OP4_SQL, op4_top_k
+from .warc import OP5_SQL, op5_warc
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_packing": op2_packing, "op8_url_filter": op8_url_filter, "op9_mixing": op9_mixing}
-ORACLES = {"op9_mixing": OP9_SQL}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_packing": op2_packing,
+    "op4_top_k": op4_top_k,
+    "op5_warc": op5_warc,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_url_filter": op8_url_filter,
+    "op9_mixing": op9_mixing,
+}
+ORACLES = {"op4_top_k": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL}
