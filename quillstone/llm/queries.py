@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op7_fingerprints
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op2_packing
+from .substring import op3_substring_dedup
 from .token_files import op1_token_files
 from .urlfilter import op8_url_filter
 from .vafile import OP4_SQL, op4_top_k
@@ -13,6 +14,7 @@ from .warc import OP5_SQL, op5_warc
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_top_k": op4_top_k,
     "op5_warc": op5_warc,
     "op7_fingerprints": op7_fingerprints,
