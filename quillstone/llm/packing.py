@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, pieces, ragged, shared_dir
-from .tokens import ColumnTokenizer
+from .tokens import worker_tokenizer
 
 WINDOW = 4096
 SHARD_TOKENS = 1 << 20
@@ -31,7 +31,7 @@ def tokenised(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> Da
     """Writes doc_id, the lexical key, n_tokens and ids (little-endian uint16 if they fit) of all texts to `path` and reads them."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ColumnTokenizer(tokenizer)
+        encoder = worker_tokenizer(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)

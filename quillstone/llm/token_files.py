@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load, make_dir, open_fs, pieces, shared_dir
-from .tokens import ColumnTokenizer
+from .tokens import worker_tokenizer
 
 SEQUENCE = 2048
 ROWS_A_BATCH = 256
@@ -91,7 +91,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     kind = "<u4" if wide else "<u2"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ColumnTokenizer(tokenizer)
+        encoder = worker_tokenizer(tokenizer)
         part, seq, held, lens, names, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:

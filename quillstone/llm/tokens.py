@@ -3,12 +3,59 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged, slices, strings
+from .common import SPACE, buffer_of, lower_ascii, ragged, slices, strings
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SPACE)] = True
+
+
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Byte-level letters: bytes without a visible Latin-1 character take the code points from 256 on, in order.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_HELD: dict[str, ColumnTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> ColumnTokenizer:
+    """The Python worker's own tokenizer, whose memo lasts from task to task."""
+    if path not in _HELD:
+        _HELD[path] = ColumnTokenizer(path)
+    return _HELD[path]
+
+
+def parted(col: pa.Array) -> pa.Array:
+    """The texts in lower case (A-Z) with a space before stops that end a word after an ASCII letter; the ids stay the same."""
+    raw, offs = buffer_of(col)
+    if not len(raw):
+        return col
+    last = np.zeros(len(raw) + 1, bool)
+    last[offs] = True
+    ends = np.flatnonzero(_STOP[raw] & (last[1:] | np.concatenate([_BLANK[raw[1:]], [True]])))
+    starts = ends.copy()
+    for _ in range(4):  # runs of up to four stops; longer ones stay whole
+        back = (starts > 0) & ~last[starts]
+        back[back] = _STOP[raw[starts[back] - 1]]
+        if not back.any():
+            break
+        starts[back] -= 1
+    ok = (starts > 0) & ~last[starts]
+    ok[ok] = _LETTER[raw[starts[ok] - 1]]
+    at = starts[ok]
+    out = np.insert(lower_ascii(raw), at, 32)
+    moved = (offs + np.searchsorted(at, offs)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(col), pa.py_buffer(moved), pa.py_buffer(out))
 
 
 class ColumnTokenizer:
@@ -19,7 +66,7 @@ class ColumnTokenizer:
     encoded once and remembered: at most `memo` words of at most 64 characters, in two generations.
     """
 
-    def __init__(self, path: str, by_word: bool = True, memo: int = 200_000) -> None:
+    def __init__(self, path: str, by_word: bool = True, memo: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -29,7 +76,21 @@ class ColumnTokenizer:
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of small Latin letters alone are one piece to the splitter and go to its BPE model directly."""
+        out: list = [None] * len(words)
+        rest = []
+        tokenize = self.encoder.model.tokenize
+        for i, w in enumerate(words):
+            if _PLAIN(w):
+                out[i] = array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._encode([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def _words(self, words: list[str]) -> list[bytes]:
         new, old = self.new, self.old
@@ -44,7 +105,7 @@ class ColumnTokenizer:
                     missing.append(i)
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            for i, ids in zip(part, self._encode([words[i] for i in part]), strict=True):
+            for i, ids in zip(part, self._encode_words([words[i] for i in part]), strict=True):
                 out[i] = ids
                 if len(words[i]) <= 64:
                     new[words[i]] = ids
@@ -55,8 +116,10 @@ class ColumnTokenizer:
     def encode(self, col: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column (null: empty), each text followed by end_id, and the row offsets."""
         ids, offsets, base = [], [np.zeros(1, np.int64)], 0
-        for _, part in slices(strings(col), 4 << 20):
+        for _, part in slices(strings(col), 1 << 20):
             if self.by_word:
+                if not pc.any(pc.match_substring(part, "<|")).as_py():  # no special token's name
+                    part = parted(part)
                 lists = pc.ascii_split_whitespace(part)
                 coded = lists.flatten().dictionary_encode()
                 found = self._words(coded.dictionary.to_pylist())
