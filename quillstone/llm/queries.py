@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op7_fingerprints
+from .jaccard import op10_jaccard_join
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op2_packing
 from .substring import op3_substring_dedup
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {"op4_top_k": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL}
