@@ -115,6 +115,26 @@ class _Records:
         return key, rec, deleted, probe_only, parts
 
 
+    def sketches(self, rec: np.ndarray, probe_only: np.ndarray) -> list[bytes]:
+        """Of record rec[i] in its own or the next band the parity of its shingles at sketch_bits() places.
+
+        Two sketches of a band differ in at most as many bits as the sets' symmetric difference has members.
+        """
+        low = _bands(int(self.size.max(initial=1)))
+        bits = sketch_bits(low, np.searchsorted(low, self.size[rec], "right") - 1 + probe_only)
+        size = self.size[rec]
+        base = np.cumsum(bits) - bits
+        place = np.repeat(np.arange(len(rec)), size)
+        token = self.values[np.repeat(self.offs[rec] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        at = base[place] + (mix(token + _U(0x5851F42D4C957F2D)) % bits.astype(np.uint64)[place]).astype(np.int64)
+        odd = np.packbits(np.bincount(at, minlength=int(bits.sum())) & 1 == 1).tobytes() if len(rec) else b""
+        return [odd[a : a + n] for a, n in zip((base // 8).tolist(), (bits // 8).tolist(), strict=True)]
+
+
+def sketch_bits(low: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return 64 * (-(-low[band + 1] // 64) + 1)
+
+
 def allocate(rec: np.ndarray, number: np.ndarray, deleted: np.ndarray, need: dict[int, int], cost: np.ndarray) -> np.ndarray:
     """Which entries a probe uses: a cheapest allocation with more units than the most differing segments.
 
@@ -270,7 +290,7 @@ class _Join:
         return checkpoint(self.cogroup(right, compare, "a long, b long"))
 
     def cross_pairs(self, reps: DataFrame) -> DataFrame:
-        """All pairs (probe, indexed) of different components that the allocation leaves to verify. reps: id, root, chunk."""
+        """All pairs (probe, indexed) of different components that the allocation and the sketches leave to verify. reps: id, root, chunk."""
         buckets = self.buckets
         right = _tagged(reps, "chunk", kind="rep", a="id", b="root")
 
@@ -316,15 +336,19 @@ class _Join:
             some = np.flatnonzero((level > 0) & (~probe_only | active))
             some = some[np.argsort(bucket[some], kind="stable")]
             ends = np.cumsum(np.bincount(bucket[some], minlength=buckets))
-            names, sizes, root, who, flags = [], [], [], [], []
+            drawn = np.unique(2 * rec[some] + probe_only[some])
+            sketch = dict(zip(drawn.tolist(), r.sketches(drawn >> 1, drawn & 1), strict=True))
+            names, sizes, root, who, flags, odd = [], [], [], [], [], []
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                own, index = np.unique(rec[some[a:b]], return_inverse=True)
+                own, index = np.unique(2 * rec[some[a:b]] + probe_only[some[a:b]], return_inverse=True)
+                odd.append(b"".join(sketch[x] for x in own.tolist()))
+                own = own >> 1
                 names.append(r.ids[own].astype("<i8").tobytes())
                 sizes.append(r.size[own].astype("<u4").tobytes())
                 root.append(roots[own].astype("<i8").tobytes())
                 who.append(index.astype("<u4").tobytes())
                 flags.append((active[some[a:b]] + 2 * deleted[some[a:b]] + 4 * probe_only[some[a:b]]).astype(np.uint8).tobytes())
-            out = pa.table({"bucket": pa.array(range(buckets), pa.int64()), "keys": pa.array(_cut(keys[some], bucket[some], buckets), pa.binary()), **{k: pa.array(v, pa.binary()) for k, v in (("names", names), ("sizes", sizes), ("roots", root), ("who", who), ("flags", flags))}})
+            out = pa.table({"bucket": pa.array(range(buckets), pa.int64()), "keys": pa.array(_cut(keys[some], bucket[some], buckets), pa.binary()), **{k: pa.array(v, pa.binary()) for k, v in (("names", names), ("sizes", sizes), ("roots", root), ("who", who), ("flags", flags), ("sketches", odd))}})
             return out.filter(pa.array(np.bincount(bucket[some], minlength=buckets) > 0))
 
         def pairs(_: tuple, table: pa.Table) -> pa.Table:
@@ -333,8 +357,19 @@ class _Join:
             pick = lambda name, kind: np.concatenate([x[w] for x, w in zip(raw(name, kind), who, strict=True)])
             key, flags = np.concatenate(raw("keys", "<u8")), np.concatenate(raw("flags", np.uint8))
             ids, size, root = pick("names", "<i8"), pick("sizes", "<u4").astype(np.int64), pick("roots", "<i8")
+            low = _bands(int(size.max(initial=1)))
+            words = sketch_bits(low, np.searchsorted(low, size, "right") - 1 + (flags >> 2)) // 64
+            held, place, base = [], [], 0
+            for sizes, own, f, odd in zip(raw("sizes", "<u4"), who, raw("flags", np.uint8), raw("sketches", "<u8"), strict=True):
+                later = np.zeros(len(sizes), np.int64)
+                later[own] = f >> 2
+                n = sketch_bits(low, np.searchsorted(low, sizes, "right") - 1 + later) // 64
+                place.append((base + np.cumsum(n) - n)[own])
+                base += len(odd)
+                held.append(odd)
+            held, place = np.concatenate(held), np.concatenate(place)
             order = np.argsort(key, kind="stable")
-            key, flags, ids, size, root = key[order], flags[order], ids[order], size[order], root[order]
+            key, flags, ids, size, root, words, place = (x[order] for x in (key, flags, ids, size, root, words, place))
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             end = np.append(start[1:], len(key))
             mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
@@ -343,14 +378,20 @@ class _Join:
             for a, b in zip(start[mixed & busy].tolist(), end[mixed & busy].tolist(), strict=True):
                 f, i, n, t = flags[a:b], ids[a:b], size[a:b], root[a:b]
                 y = np.flatnonzero(f & 4 == 0)
-                for lo in range(0, b - a, 512):  # a block of probes against the whole group
-                    x = lo + np.flatnonzero(f[lo : lo + 512] & 1)
+                step = max(1, (1 << 20) // ((b - a) * int(words[a])))
+                for lo in range(0, b - a, step):  # a block of probes against the whole group
+                    x = lo + np.flatnonzero(f[lo : lo + step] & 1)
                     if not len(x) or not len(y):
                         continue
                     p, q = x[:, None], y[None, :]
                     ok = (t[p] != t[q]) & (4 * n[q] <= 5 * n[p]) & ((f[p] & 2 == 0) | (f[q] & 2 == 0))
                     ok &= (n[p] < n[q]) | (n[p] == n[q]) & (i[p] < i[q])
                     u, v = np.nonzero(ok)
+                    if len(u):  # the sketches' distance is no more than the sets'
+                        odd = held[place[a:b, None] + np.arange(words[a])]
+                        far = np.bitwise_count(odd[x[u]] ^ odd[y[v]]).sum(1)
+                        close = 9 * far <= n[x[u]] + n[y[v]]
+                        u, v = u[close], v[close]
                     found.append(np.stack([i[x[u]], i[y[v]]], 1))
             out = np.unique(np.concatenate(found), axis=0)
             return pa.table({"a": out[:, 0], "b": out[:, 1]})
@@ -358,7 +399,7 @@ class _Join:
         sent = self.cogroup(right, send, "chunk long, bucket long, keys binary")
         levels = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, levels binary")
         more = right.unionByName(_tagged(levels, "chunk", kind="levels", n="bucket", s="levels"))
-        shared = self.cogroup(more, send_shared, "bucket long, keys binary, names binary, sizes binary, roots binary, who binary, flags binary")
+        shared = self.cogroup(more, send_shared, "bucket long, keys binary, names binary, sizes binary, roots binary, who binary, flags binary, sketches binary")
         return checkpoint(shared.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct())
 
     def close(self) -> None:
