@@ -6,6 +6,7 @@ from .fingerprints import op7_fingerprints
 from .jaccard import op10_jaccard_join
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op2_packing
+from .quality import op6_quality
 from .substring import op3_substring_dedup
 from .token_files import op1_token_files
 from .urlfilter import op8_url_filter
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_top_k": op4_top_k,
     "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
     "op7_fingerprints": op7_fingerprints,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,

@@ -37,7 +37,7 @@ class _Chunk:
         if len(np.unique(ids)) < len(ids):
             as_text = self.texts.to_pylist()
             order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], as_text[i])))
-        self.texts, self.ids = self.texts.take(pa.array(order)), ids[order]
+        self.texts, self.ids, self.order = self.texts.take(pa.array(order)), ids[order], order
         self.null = table["doc_id"].combine_chunks().is_null().to_numpy(zero_copy_only=False)[order]
         self.window, self.block, self.buckets = window, window // 2, buckets
         hashes, counts = [], []
@@ -174,17 +174,19 @@ def match_windows(key: tuple, table: pa.Table) -> pa.Table:
 _REPLY = "chunk long, bucket long, probes binary, blocks binary, windows binary"
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space), repeats (spans of removed words: start, end).
 
     A word goes if a run of `window` words of its document that covers it also begins in a document
     with a smaller doc_id, judged on the input. A null id counts as the smallest; rows of one id never
     remove each other's words. Null, empty and blank texts have no words; texts under `window` words
-    stay whole. An empty table gives no rows; other columns are ignored.
+    stay whole. An empty table gives no rows; other columns are ignored, but for those named in carry,
+    which come back as they were.
     """
     parts = pieces(docs, 4 << 20)
     buckets = parts
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = [f"__carry{i}" for i in range(len(carry))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(h) for c, h in zip(carry, held, strict=True)))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).repartition(parts, "chunk")
 
     def send_blocks(key: tuple, table: pa.Table) -> pa.Table:
@@ -234,13 +236,15 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             else:
                 spans.append([])
             kept.append(b" ".join(words))
-        return pa.table({"doc_id": pa.array(chunk.ids, mask=chunk.null), "n_words": chunk.counts, "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string()), "repeats": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+        return pa.table({**{h: table[h].take(pa.array(chunk.order)) for h in held}, "doc_id": pa.array(chunk.ids, mask=chunk.null), "n_words": chunk.counts, "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string()), "repeats": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     sent = dealt.groupBy("chunk").applyInArrow(send_blocks, "chunk long, bucket long, probes binary, blocks binary")
     hits = sent.groupBy("bucket").applyInArrow(match_blocks, _REPLY)
     sent = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, "chunk long, bucket long, windows binary, names binary, firsts binary")
     earlier = sent.groupBy("bucket").applyInArrow(match_windows, _REPLY)
-    return dealt.groupBy("chunk").cogroup(hits.unionByName(earlier).groupBy("chunk")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start: long, end: long>>")
+    schema = "".join(f"{h} {rows.schema[h].dataType.simpleString()}, " for h in held) + "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start: long, end: long>>"
+    out = dealt.groupBy("chunk").cogroup(hits.unionByName(earlier).groupBy("chunk")).applyInArrow(remove, schema)
+    return out.withColumnsRenamed(dict(zip(held, carry, strict=True)))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
