@@ -88,7 +88,6 @@ def additive(deduped: DataFrame) -> DataFrame:
     sums = sums.select("pos", "id", "entity_key", "year", "basis_key", "tokens", "num")
     near = lambda x, y: F.abs(x - y) <= F.lit(S.TOLERANCE)
     wide = 1e14  # beyond, one step of a double is wider than a bin
-    bin_of = lambda v: F.when(F.abs(v) < wide, F.floor(v * 10).cast("double")).otherwise(F.lit(float("inf")))
     col = lambda s, c: F.col(f"{s}_{c}")
     side = lambda s: sums.select(*[F.col(c).alias(f"{s}_{c}") for c in sums.columns])
     c, x, y = side("c"), side("x"), side("y")
@@ -99,11 +98,10 @@ def additive(deduped: DataFrame) -> DataFrame:
     rest = F.col("c_num") - F.col("x_num")
     large = F.greatest(F.abs("c_num"), F.abs("x_num")) >= wide
     probe = with_word.withColumn("bin", F.explode(F.when(large, F.array(F.lit(float("inf")))).otherwise(F.transform(F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0)), lambda d: F.floor(rest * 10).cast("double") + d))))
-    indexed = y.withColumn("y_bin", bin_of(F.col("y_num")))
-    # large values meet through one bin of their own, and their partners there too
-    every = y.withColumn("y_bin", F.lit(float("inf"))).where(F.abs("y_num") < wide)
-    large_there = probe.where(F.isnan("bin") | (F.col("bin") == float("inf")))
-    joined = probe.join(indexed, same("c", "y") & (F.col("bin") == F.col("y_bin"))).unionByName(large_there.join(every, same("c", "y") & (F.col("bin") == F.col("y_bin"))))
+    # every addend is also in the bin where the large values look
+    own = F.when(F.abs("y_num") < wide, F.array(F.floor(F.col("y_num") * 10).cast("double"), F.lit(float("inf")))).otherwise(F.array(F.lit(float("inf"))))
+    indexed = y.withColumn("y_bin", F.explode(own))
+    joined = probe.join(indexed, same("c", "y") & (F.col("bin") == F.col("y_bin")))
     before = F.col("x_pos") < F.col("y_pos")
     a_num, b_num = F.when(before, F.col("x_num")).otherwise(F.col("y_num")), F.when(before, F.col("y_num")).otherwise(F.col("x_num"))
     ok = (F.col("y_id") != F.col("c_id")) & (F.col("y_id") != F.col("x_id")) & ~near(F.col("y_num"), F.col("c_num")) & (F.abs(a_num + b_num - F.col("c_num")) <= F.lit(S.TOLERANCE))
