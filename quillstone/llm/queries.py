@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from .fingerprints import op7_fingerprints
-from .jaccard import op10_jaccard_join
+from .jaccard import OP10_SQL, op10_jaccard_join
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op2_packing
 from .quality import op6_quality
-from .substring import op3_substring_dedup
+from .substring import OP3_SQL, op3_substring_dedup
 from .token_files import op1_token_files
 from .urlfilter import op8_url_filter
 from .vafile import OP4_SQL, op4_top_k
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES = {"op4_top_k": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op4_top_k": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": OP9_SQL, "op10_jaccard_join": OP10_SQL}

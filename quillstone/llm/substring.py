@@ -250,3 +250,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p : p + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50)),
+first AS (SELECT h, min(doc_id) AS f FROM win GROUP BY h),
+gone AS (SELECT DISTINCT win.doc_id, unnest(range(p, p + 50)) AS i FROM win JOIN first ON win.h = first.h WHERE f < win.doc_id),
+every AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS txt, count(*) AS n FROM every e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
