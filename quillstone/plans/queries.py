@@ -204,12 +204,10 @@ def ground_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q_ground_benchmark", "SELECT item_id, CAST(d.doc_id AS VARCHAR) AS doc_id FROM {benchmark} b JOIN {documents} d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) AND length(trim(b.text)) >= 12")
 def ground_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Which documents hold which benchmark passage. The passages meet the documents through their first five words."""
-    first = F.concat_ws(" ", *[F.get(F.split(T.match_form(F.col("text")), " "), i) for i in range(5)])
+    """Which documents hold which benchmark passage, of five words or more: they meet through the second to fourth word, which no cut touches."""
     items = spark.read.parquet(f"{sf}/benchmark.parquet").where(F.length(T.stripped(F.col("text"))) >= S.QUOTE_CHARS)
-    items = items.select("item_id", T.match_form(F.col("text")).alias("quote"), first.alias("key"))
+    items = items.select("item_id", T.match_form(F.col("text")).alias("quote"))
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), T.match_form(F.col("text")).alias("page"))
-    # a passage may begin inside a word: the words after its first are whole, so they alone make the key
     key = F.concat_ws(" ", *[F.get(F.split("quote", " "), i) for i in range(1, 4)])
     items = items.withColumn("key", key)
     words = docs.withColumn("w", F.split("page", " ")).withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 3))))

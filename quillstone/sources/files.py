@@ -46,6 +46,27 @@ def extract_pages(files: DataFrame, parser: Callable[[bytes], list[str]] = pdf_p
     return with_metrics(files.select("doc_id", "content").mapInArrow(run, "doc_id string, page_number int, text string"))
 
 
+def save_uploads(files: DataFrame, folder: str) -> DataFrame:
+    """Copies each file to folder/doc_id with its own ending (.pdf without one), on the executors; gives doc_id and file_path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        fs, at = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(at, recursive=True)
+        for batch in batches:
+            paths = []
+            for doc, name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ending = "." + name.rpartition(".")[2].lower() if "." in name else ".pdf"
+                with fs.open_output_stream(f"{at}/{doc}{ending}.tmp") as out:
+                    out.write(content.as_buffer())
+                fs.move(f"{at}/{doc}{ending}.tmp", f"{at}/{doc}{ending}")
+                paths.append(f"{folder}/{doc}{ending}")
+            yield pa.record_batch({"doc_id": batch.column(0), "file_path": pa.array(paths, pa.string())})
+
+    return files.select("doc_id", "filename", "content").mapInArrow(run, "doc_id string, file_path string")
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
