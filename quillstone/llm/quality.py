@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
                 yield pa.record_batch({"doc_id": some.column(0), "y0": some.column(5), "y1": some.column(6), "flat": pa.array([flat[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary()), "stats": pa.array([s.tobytes() for s in stats], pa.binary()), "meta": pa.array([m.tobytes() for m in meta], pa.binary())})
 
     got = chosen.select("doc_id", "text", "lang", "source", "n_chars", *QUESTIONS).mapInArrow(run, "doc_id long, y0 int, y1 int, flat binary, stats binary, meta binary").toArrow()
-    got = got.take(pa.array(sorted(range(got.num_rows), key=lambda i, a=got["doc_id"].to_pylist(), b=got["flat"].to_pylist(): (mix(np.array([a[i]]).astype(np.uint64))[0], b[i]))))
+    got = got.take(pa.array(sorted(range(got.num_rows), key=lambda i, a=got["doc_id"].to_pylist(), b=got["flat"].to_pylist(): (mix(np.array([a[i]]).astype(np.uint64))[0], b[i])), pa.int64()))
     flat = [np.frombuffer(x.as_buffer(), np.int32) for x in got["flat"]]
     d = _Data(np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int64), np.array([np.frombuffer(x.as_buffer()) for x in got["stats"]]).reshape(-1, N_STATS), np.array([np.frombuffer(x.as_buffer(), np.int64) for x in got["meta"]], np.int64).reshape(-1, 4))
     return {name: cotrain(d, got[y].fill_null(-1).to_numpy().astype(np.int64), rounds) for name, y in zip(QUESTIONS, ("y0", "y1"), strict=True)}
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 def score(docs: DataFrame, models: dict[str, Question], carry: bool = False) -> DataFrame:
     """Of every row p_<question> of both views and of each (_text, _meta), and keep: no question's answer is yes.
 
-    With carry all columns of docs come first, as they were; else doc_id alone. Null and empty texts
+    With carry all columns of docs come first, as they were, in a struct, row; else doc_id alone. Null and empty texts
     are judged by their statistics and metadata; a missing or null metadata column is a value of its
     own. Repeated rows are judged alike, an empty table gives no rows.
     """
@@ -292,7 +292,9 @@ def score(docs: DataFrame, models: dict[str, Question], carry: bool = False) ->
                 yield pa.RecordBatch.from_pydict(out | {"keep": pa.array(~yes)})
 
     schema = "".join(f"{h} {rows.schema[h].dataType.simpleString()}, " for h in held) + "".join(f"p_{n} double, p_{n}_text double, p_{n}_meta double, " for n in models) + "keep boolean"
-    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(held, have, strict=True)))
+    out = rows.mapInArrow(run, schema)
+    first = F.struct(*(F.col(h).alias(c) for c, h in zip(have, held, strict=True))).alias("row") if carry else F.col(held[0]).alias("doc_id")
+    return out.select(first, *out.columns[len(held) :])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

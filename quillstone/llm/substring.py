@@ -181,7 +181,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
     with a smaller doc_id, judged on the input. A null id counts as the smallest; rows of one id never
     remove each other's words. Null, empty and blank texts have no words; texts under `window` words
     stay whole. An empty table gives no rows; other columns are ignored, but for those named in carry,
-    which come back as they were.
+    which come back as they were in a struct, row.
     """
     parts = pieces(docs, 4 << 20)
     buckets = parts
@@ -244,7 +244,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
     earlier = sent.groupBy("bucket").applyInArrow(match_windows, _REPLY)
     schema = "".join(f"{h} {rows.schema[h].dataType.simpleString()}, " for h in held) + "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start: long, end: long>>"
     out = dealt.groupBy("chunk").cogroup(hits.unionByName(earlier).groupBy("chunk")).applyInArrow(remove, schema)
-    return out.withColumnsRenamed(dict(zip(held, carry, strict=True)))
+    row = F.struct(*(F.col(h).alias(c) for c, h in zip(carry, held, strict=True))).alias("row")
+    return out.select("doc_id", "n_words", "n_removed", "kept", "repeats", *([row] if carry else []))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

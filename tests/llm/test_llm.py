@@ -138,7 +138,7 @@ def test_substring_dedup(spark, odd):
     got = substring.dedup(df, carry=("text", "chunk", "kind"))
     assert {(r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got.collect()} == brute.repeats([(i, t) for i, t, _ in rows])
     some = got.where("n_removed > 0").first()
-    assert sum(s["end"] - s["start"] for s in some["repeats"]) == some["n_removed"] and some["kind"] == "x"
+    assert sum(s["end"] - s["start"] for s in some["repeats"]) == some["n_removed"] and some["row"]["kind"] == "x"
 
 
 def test_substring_dedup_of_repeated_and_null_ids(spark):

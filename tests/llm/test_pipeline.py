@@ -50,3 +50,18 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     got = pipeline.run(spark, SF)
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+def test_stages_take_null_rows_and_clashing_columns(spark, tmp_path):
+    long = " ".join(f"w{i % 97}x{i % 13}" for i in range(400))
+    rows = [(1, long, None, None, None), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (4, long + " more", "fr", "b", 5), (None, "a lone text of seven words here", "en", "a", 31), (5, "x", None, None, None), (5, "x", None, None, None)]
+    names = ["chunk", "bucket", "kind", "keep", "kept", "row", "extra", "size", "rank", "of", "key", "id", "part"]
+    docs = spark.createDataFrame([r + (1,) * len(names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, SF)
+            assert (out.count() > 0) == (some is docs)
+            if name != "packing":
+                assert out.columns == docs.columns
+    copies = {r["doc_id"] for r in pipeline.near_copies(spark, docs, SF).collect()}
+    assert copies == {1, 2, 3, None, 5}
