@@ -17,7 +17,7 @@ from quillstone.llm.common import WORD, load, shared_dir
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the co-trained classifier finds neither low in quality nor toxic."""
     models = quality.train(docs, load(spark, sf_dir, "labels"))
-    return quality.score(docs, models, carry=True).where("keep").select(*docs.columns)
+    return quality.score(docs, models, carry=True).where("keep").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +31,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 50 words and more that an earlier document has out of the texts; texts without any stay as they are."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    found = substring.dedup(docs, carry=tuple(rest))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = substring.dedup(docs, carry=tuple(docs.columns))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as often as the mix takes them: whole times on lines of their own, then the first words of the last time."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), "epochs", "extra")
+    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("epochs").alias("__epochs"), F.col("extra").alias("__extra"))
     rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    part = F.when(F.col("extra") > 0, F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " "))).otherwise(F.array().cast("array<string>"))
-    text = F.array_join(F.concat(F.array_repeat("text", F.col("epochs").cast("int")), part), "\n")
+    part = F.when(F.col("__extra") > 0, F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__extra").cast("int")), " "))).otherwise(F.array().cast("array<string>"))
+    text = F.array_join(F.concat(F.array_repeat("text", F.col("__epochs").cast("int")), part), "\n")
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
