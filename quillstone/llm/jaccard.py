@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, load, mix, pieces, shared_dir, shingle_sets, strings
-from .substring import _cut
+from .substring import _cut, _packed_bits
 
 SHINGLE = 5
 NEIGHBOURHOODS = 4
@@ -321,7 +321,8 @@ class _Join:
             ends = np.cumsum([len(p) for p in parts])
             return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "levels": pa.array([level[b - len(p) : b].tobytes() for p, b in zip(parts, ends.tolist(), strict=True)], pa.binary())})
 
-        def send_shared(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
+        def shared_entries(table: pa.Table, right: pa.Table) -> tuple:
+            """What is shared and sent, in bucket order: an index entry of the own band, or an active probe."""
             r, roots = records(table, right)
             keys, rec, deleted, probe_only, parts = r.all_entries()
             bucket = bucket_of(keys)
@@ -332,9 +333,38 @@ class _Join:
             cost = np.where(level > 0, np.exp2(level.astype(float)), 0)
             cut = len(parts[0][0])
             active = np.concatenate([allocate(p[1], p[2], p[3], p[4], c) for p, c in zip(parts, (cost[:cut], cost[cut:]), strict=True)])
-            # what is shared is sent: as an index entry of the own band, or as an active probe
             some = np.flatnonzero((level > 0) & (~probe_only | active))
             some = some[np.argsort(bucket[some], kind="stable")]
+            return r, roots, keys, rec, deleted, probe_only, bucket, active, some
+
+        def send_roots(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
+            _, roots, keys, rec, _, _, bucket, _, some = shared_entries(table, right)
+            ends = np.cumsum(np.bincount(bucket[some], minlength=buckets))
+            root, who = [], []
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                own, index = np.unique(roots[rec[some[a:b]]], return_inverse=True)
+                root.append(own.astype("<i8").tobytes())
+                who.append(index.astype("<u4").tobytes())
+            out = pa.table({"chunk": pa.array([key[0].as_py()] * buckets, pa.int64()), "bucket": pa.array(range(buckets), pa.int64()), "keys": pa.array(_cut(keys[some], bucket[some], buckets), pa.binary()), "roots": pa.array(root, pa.binary()), "who": pa.array(who, pa.binary())})
+            return out.filter(pa.array(np.bincount(bucket[some], minlength=buckets) > 0))
+
+        def mixed(_: tuple, table: pa.Table) -> pa.Table:
+            """Which entries share their signature with another component."""
+            parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table["keys"]]
+            root = np.concatenate([np.frombuffer(x.as_buffer(), "<i8")[np.frombuffer(w.as_buffer(), "<u4")] for x, w in zip(table["roots"], table["who"], strict=True)])
+            keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+            least, most = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+            np.minimum.at(least, inverse, root)
+            np.maximum.at(most, inverse, root)
+            bits = _packed_bits((least < most)[inverse], np.array([len(p) for p in parts]))
+            return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
+
+        def send_shared(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
+            r, roots, keys, rec, deleted, probe_only, bucket, active, some = shared_entries(table, right)
+            got = {n: s for k, n, s in zip(right["kind"].to_pylist(), right["n"].to_pylist(), right["s"], strict=True) if k == "mixed"}
+            count = np.bincount(bucket[some], minlength=buckets)
+            bits = [np.unpackbits(np.frombuffer(got[b].as_buffer(), np.uint8), count=int(count[b])) for b in np.flatnonzero(count).tolist()]
+            some = some[np.concatenate(bits) > 0] if bits else some
             ends = np.cumsum(np.bincount(bucket[some], minlength=buckets))
             drawn = np.unique(2 * rec[some] + probe_only[some])
             sketch = dict(zip(drawn.tolist(), r.sketches(drawn >> 1, drawn & 1), strict=True))
@@ -399,6 +429,9 @@ class _Join:
         sent = self.cogroup(right, send, "chunk long, bucket long, keys binary")
         levels = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, levels binary")
         more = right.unionByName(_tagged(levels, "chunk", kind="levels", n="bucket", s="levels"))
+        told = self.cogroup(more, send_roots, "chunk long, bucket long, keys binary, roots binary, who binary")
+        bits = told.groupBy("bucket").applyInArrow(mixed, "chunk long, bucket long, bits binary")
+        more = more.unionByName(_tagged(bits, "chunk", kind="mixed", n="bucket", s="bits"))
         shared = self.cogroup(more, send_shared, "bucket long, keys binary, names binary, sizes binary, roots binary, who binary, flags binary, sketches binary")
         return checkpoint(shared.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct())
 
