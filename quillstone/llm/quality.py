@@ -11,6 +11,7 @@ covers every row and needs no shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ PREFIXES = (4, 6)
 META = 256
 WORDS = 192
 ROUNDS = 3
-PENALTY = 0.2
+PENALTY = 1.0
 SURE = 0.98
 HELD_OUT = 0.25
 QUESTIONS = ("low_quality", "toxic")
@@ -158,18 +159,21 @@ def _text_model(q: Question, d: _Data, rows: np.ndarray, y: np.ndarray, most: in
     label = np.full(d.n, -1, np.int8)
     label[rows] = y
     of = label[d.row]
-    pos = np.bincount(d.flat[of == 1], minlength=BUCKETS).astype(float)
-    neg = np.bincount(d.flat[of == 0], minlength=BUCKETS).astype(float)
+    pos = np.bincount(d.flat[of == 1], minlength=BUCKETS)
+    neg = np.bincount(d.flat[of == 0], minlength=BUCKETS)
+    del of
+    seen = np.flatnonzero(pos + neg >= 3)
+    pos, neg = pos[seen].astype(float), neg[seen].astype(float)
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     p = (pos + neg) / (n1 + n0)
     z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[pos + neg < 3] = 0
     some = np.argsort(-np.abs(z), kind="stable")[:most]
-    q.words = np.sort(some[np.abs(z[some]) > 6])
-    at = np.searchsorted(q.words, d.flat)
-    known = np.flatnonzero(q.words[np.minimum(at, len(q.words) - 1)] == d.flat) if len(q.words) else np.zeros(0, np.int64)
+    q.words = np.sort(seen[some[np.abs(z[some]) > 6]])
+    used = np.zeros(BUCKETS, bool)
+    used[q.words] = True
+    known = np.flatnonzero(used[d.flat])
     x = np.zeros((d.n, len(q.words)))
-    x[d.row[known], at[known]] = 1
+    x[d.row[known], np.searchsorted(q.words, d.flat[known])] = 1
     q.mean, q.scale = d.stats[rows].mean(0), d.stats[rows].std(0) + 1e-3
     s = (d.stats - q.mean) / q.scale
     w = fit_logistic(np.column_stack([x, s])[rows], y, PENALTY)
@@ -257,13 +261,17 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 flat, offs, stats, meta = _features(some, 1)
-                yield pa.record_batch({"doc_id": some.column(0), "y0": some.column(5), "y1": some.column(6), "flat": pa.array([flat[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary()), "stats": pa.array([s.tobytes() for s in stats], pa.binary()), "meta": pa.array([m.tobytes() for m in meta], pa.binary())})
+                raw = [flat[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                place = mix(some.column(0).to_numpy().astype(np.uint64)).view(np.int64)
+                yield pa.record_batch({"place": place, "tie": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "y0": some.column(5), "y1": some.column(6), "flat": pa.array(raw, pa.binary()), "stats": pa.array([s.tobytes() for s in stats], pa.binary()), "meta": pa.array([m.tobytes() for m in meta], pa.binary())})
 
-    got = chosen.select("doc_id", "text", "lang", "source", "n_chars", *QUESTIONS).mapInArrow(run, "doc_id long, y0 int, y1 int, flat binary, stats binary, meta binary").toArrow()
-    got = got.take(pa.array(sorted(range(got.num_rows), key=lambda i, a=got["doc_id"].to_pylist(), b=got["flat"].to_pylist(): (mix(np.array([a[i]]).astype(np.uint64))[0], b[i])), pa.int64()))
+    got = chosen.select("doc_id", "text", "lang", "source", "n_chars", *QUESTIONS).mapInArrow(run, "place long, tie long, y0 int, y1 int, flat binary, stats binary, meta binary").toArrow()
+    got = got.sort_by([("place", "ascending"), ("tie", "ascending")])
     flat = [np.frombuffer(x.as_buffer(), np.int32) for x in got["flat"]]
     d = _Data(np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int64), np.array([np.frombuffer(x.as_buffer()) for x in got["stats"]]).reshape(-1, N_STATS), np.array([np.frombuffer(x.as_buffer(), np.int64) for x in got["meta"]], np.int64).reshape(-1, 4))
-    return {name: cotrain(d, got[y].fill_null(-1).to_numpy().astype(np.int64), rounds) for name, y in zip(QUESTIONS, ("y0", "y1"), strict=True)}
+    known = {name: got[y].fill_null(-1).to_numpy().astype(np.int64) for name, y in zip(QUESTIONS, ("y0", "y1"), strict=True)}
+    del got, flat
+    return {name: cotrain(d, y, rounds) for name, y in known.items()}
 
 
 def score(docs: DataFrame, models: dict[str, Question], carry: bool = False) -> DataFrame:
