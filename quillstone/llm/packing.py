@@ -1,10 +1,11 @@
 """Lexical retrieval packing: a sharded BM25 index returns unused neighbours that fill each seed's window.
 
 Terms are token ids, so document frequencies over the whole corpus are at most one number for each
-vocabulary entry, whatever the corpus' size. Documents are sorted by a lexical key (their rarest
-merge: the largest token id) and dealt into shards of a bounded number of tokens; equal and similar
-documents become neighbours in that order, and a hot source or group of copies simply spans several
-shards. Each shard is indexed and packed on its own with the corpus-wide statistics.
+vocabulary entry, whatever the corpus' size. Every document goes to the groups of its strongest
+(highest-idf) terms, meets there documents of the whole corpus, and keeps its best BM25 neighbour of
+all its groups. Documents that these links connect lie side by side, and the order of the links'
+components is dealt into shards of a bounded number of tokens; a hot source or group of copies simply
+spans several shards. Each shard is indexed and packed on its own with the corpus-wide statistics.
 """
 
 from __future__ import annotations
@@ -14,21 +15,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, pieces, ragged, shared_dir
+from .common import checkpoint, load, pieces, ragged, shared_dir
+from .jaccard import components
 from .tokens import worker_tokenizer
 
 WINDOW = 4096
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
+#: Groups that a document is routed to, strongest terms that its score in a group counts, documents scored at once.
+ROUTES, TERMS, GROUP = 4, 32, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def tokenised(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Writes doc_id, the lexical key, n_tokens and ids (little-endian uint16 if they fit) of all texts to `path` and reads them."""
+    """Writes doc_id, node, n_tokens and ids (little-endian uint16 if they fit) of all texts to `path` and reads them.
+
+    A node is the text's lexical key (its rarest merge: the largest token id) above 40 bits of a hash
+    of its ids, so equal texts are one node and nodes sort by the key.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_tokenizer(tokenizer)
@@ -39,10 +48,12 @@ def tokenised(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> Da
                 lens = np.diff(offs)
                 key = np.maximum.reduceat(ids, offs[:-1]) if len(ids) else np.zeros(0)
                 raw = ids.astype("<u4").tobytes()
-                yield pa.record_batch({"doc_id": some.column(0), "lexical": pa.array(key, pa.int64()), "n_tokens": lens, "ids": pa.array([_narrow(raw[a:b]) for a, b in zip((4 * offs[:-1]).tolist(), (4 * offs[1:]).tolist(), strict=True)], pa.binary())})
+                own = [_narrow(raw[a:b]) for a, b in zip((4 * offs[:-1]).tolist(), (4 * offs[1:]).tolist(), strict=True)]
+                node = key.astype(np.int64) << 40 | np.array([xxhash.xxh3_64_intdigest(x) & (1 << 40) - 1 for x in own], np.int64)
+                yield pa.record_batch({"doc_id": some.column(0), "node": pa.array(node, pa.int64()), "n_tokens": lens, "ids": pa.array(own, pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows.mapInArrow(encode, "doc_id long, lexical long, n_tokens long, ids binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows.mapInArrow(encode, "doc_id long, node long, n_tokens long, ids binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -81,6 +92,79 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     return out, got.get(-1, 0), got.get(-2, 0)
 
 
+def _weights(idf: np.ndarray, tf: np.ndarray, length: np.ndarray | int, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def best_of_group(nodes: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each document of a group its best-scored other one (place and score)."""
+    row = np.repeat(np.arange(len(nodes)), [len(x) for x in terms])
+    own, place = np.unique(np.concatenate(terms), return_inverse=True)
+    asks, has = np.zeros((2, len(nodes), len(own)), np.float32)
+    asks[row, place], has[row, place] = 1, np.concatenate(weights)
+    scores = asks @ has.T
+    np.fill_diagonal(scores, -1)
+    best = scores.argmax(1)
+    return best, scores[np.arange(len(nodes)), best]
+
+
+def neighbours(tokens: DataFrame, df: np.ndarray, idf: np.ndarray, mean: float) -> DataFrame:
+    """a, b: of each node (distinct text) the best neighbour among all groups of its strongest terms.
+
+    A term that one document alone has, or more than half of all, leads nowhere. Groups lie in the order
+    of their terms, a large one in the order of its documents' strongest terms and in parts of GROUP.
+    """
+    shared = tokens.sparkSession.sparkContext.broadcast((np.where(df > 1, idf, 0), mean))
+
+    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strength, mean = shared.value
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(4)]
+            for node, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                term, tf = np.unique(_ids(raw.as_buffer().to_pybytes(), n), return_counts=True)
+                top = np.argsort(-strength[term], kind="stable")[:TERMS]
+                top = top[strength[term[top]] > 0]
+                if len(top):
+                    weight = _weights(strength[term[top]], tf[top], n, mean)
+                    for c, v in zip(cols, (node, term[top[:ROUTES]].tolist(), term[top].astype("<u4").tobytes(), weight.astype("<f4").tobytes()), strict=True):
+                        c.append(v)
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            yield pa.record_batch({k: pa.array(c, t) for k, c, t in zip(("node", "routes", "terms", "weights"), cols, kinds, strict=True)})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found: list[list[np.ndarray]] = []
+
+        def flush() -> None:
+            if len(held) > 1:
+                nodes = np.array([x[0] for x in held], np.int64)
+                best, score = best_of_group(nodes, [np.frombuffer(x[1], "<u4") for x in held], [np.frombuffer(x[2], "<f4") for x in held])
+                found.append([nodes, nodes[best], score.astype(float)])
+            held.clear()
+
+        def out() -> pa.RecordBatch:
+            cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            found.clear()
+            return pa.record_batch(dict(zip(("a", "b", "score"), cols, strict=True)))
+
+        last = None
+        for batch in batches:
+            for term, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if term != last or len(held) == GROUP:
+                    flush()
+                last = term
+                held.append(tuple(row))
+            yield out()
+        flush()
+        yield out()
+
+    strong = tokens.select("node", "n_tokens", "ids").mapInArrow(strongest, "node long, routes array<int>, terms binary, weights binary").dropDuplicates(["node"])
+    routed = strong.select(F.explode("routes").alias("term"), "routes", "node", "terms", "weights")
+    routed = routed.repartitionByRange(pieces(tokens, 16 << 20), "term", "routes", "node").sortWithinPartitions("term", "routes", "node")
+    met = routed.select("term", "node", "terms", "weights").mapInArrow(meet, "a long, b long, score double")
+    return met.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+
 class _Bm25:
     """The inverted index of one shard."""
 
@@ -92,7 +176,7 @@ class _Bm25:
         doc, term = coded // width, coded % width
         good = idf[term] > 0  # terms in more than half of all documents weigh nothing
         doc, term, tf = doc[good], term[good], tf[good]
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / mean))
+        weight = _weights(idf[term], tf, lens[doc], mean)
         self.n, self.term = len(rows), term
         self.at = np.searchsorted(doc, np.arange(len(rows) + 1))
         order = np.argsort(term, kind="stable")
@@ -214,7 +298,9 @@ def pack(docs: DataFrame, tokenizer: str, work: str, end_id: int = 2, window: in
         if names:
             yield flush()
 
-    dealt = tokens.repartitionByRange(pieces(docs, 16 << 20), "lexical", "doc_id", "n_tokens").sortWithinPartitions("lexical", "doc_id", "ids")
+    roots = components(checkpoint(neighbours(tokens, df, idf, mean))).withColumnRenamed("node", "__node")
+    placed = tokens.join(roots, F.col("node") == F.col("__node"), "left").select("doc_id", "node", "n_tokens", "ids", F.coalesce("root", "node").alias("root"))
+    dealt = placed.repartitionByRange(pieces(docs, 16 << 20), "root", "node", "doc_id", "n_tokens").sortWithinPartitions("root", "node", "doc_id", "ids")
     return dealt.select("doc_id", "n_tokens", "ids").mapInArrow(run, PIECES + ", ids binary" * include_ids)
 
 

@@ -133,6 +133,29 @@ def test_packing_prefers_related_documents():
         assert len({d % 4 for d, _, _ in seq}) == 1
 
 
+def test_packing_finds_neighbours_whose_largest_token_differs(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path) as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = [w[:-4] for w, i in sorted(vocabulary.items(), key=lambda x: x[1]) if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and i > 5000]
+    rng = random.Random(4)
+    common, last = words[:4800], words[-240:]
+    rng.shuffle(common)
+    rng.shuffle(last)
+    # 120 subjects of 40 words and 2 documents; each document ends with a word of its own, its largest id
+    rows = [(2 * s + k, " ".join([*rng.sample(common[40 * s : 40 * s + 40], 30), last[2 * s + k]]), "s") for s in range(120) for k in range(2)]
+    assert len({max(brute.ids(t)) for _, t, _ in rows}) > 200
+    got = packing.pack(table(spark, rows), path, f"file://{tmp_path}/p", window=256, shard_tokens=1024).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    assert np.mean([bool(held[2 * s] & held[2 * s + 1]) for s in range(120)]) > 0.8
+
+
 def test_substring_dedup(spark, odd):
     rows, df = odd
     got = substring.dedup(df, carry=("text", "chunk", "kind"))
