@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import checkpoint, load
 
 #: The rules, as (verdict, host and path).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -59,8 +59,10 @@ def grams_of(host: Column, path: Column, n: int = N) -> Column:
 def train(labelled: DataFrame, n: int = N, buckets: int = BUCKETS, most: int = LABELLED, penalty: float = PENALTY):
     """A function that adds the column score (log-odds of blocking) to rows with host and path, from a table of url and blocked.
 
-    Of a larger table the `most` rows of the smallest xxhash64 of the url are used (ties by url);
-    that bounds the fit. Rows with a null label do not count. Without rows of both kinds the score
+    Copies of a url with one label are one row, weighted by their number. Of a larger table the rows
+    of the smallest xxhash64 of the url are used (ties by url), at most half of `most` of each label
+    and more where the other has fewer; that bounds the fit. Each label's weights are scaled to its
+    number of rows in the whole table. Rows with a null label do not count. Without rows of both kinds the score
     is the constant of the only kind there is, or allows.
     """
     from pyspark.ml.classification import LogisticRegression
@@ -68,13 +70,20 @@ def train(labelled: DataFrame, n: int = N, buckets: int = BUCKETS, most: int = L
     from pyspark.ml.functions import vector_to_array
 
     rows = labelled.where(F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("double").alias("label"))
-    rows = rows.orderBy(F.xxhash64("url"), "url", "label").limit(most)
-    kinds = {r["label"] for r in rows.select("label").distinct().collect()}
+    rows = rows.groupBy("url", "label").agg(F.count("*").cast("double").alias("weight"))
+    sizes = {r["label"]: (r["n"], r["total"]) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).collect()}
+    kinds = set(sizes)
     if len(kinds) < 2:
         return lambda df: df.withColumn("score", F.lit(5.0 if kinds == {1.0} else -5.0))
+    taken = {k: min(n, max(most // 2, most - sizes[1.0 - k][0])) for k, (n, _) in sizes.items()}
+    parts = [rows.where(F.col("label") == k).orderBy(F.xxhash64("url"), "url").limit(n) for k, n in taken.items()]
+    rows = checkpoint(reduce(DataFrame.unionByName, parts))
+    drawn = {r["label"]: r["total"] for r in rows.groupBy("label").agg(F.sum("weight").alias("total")).collect()}
+    scale = reduce(lambda c, k: c.when(F.col("label") == k, sizes[k][1] / drawn[k]), kinds, F)
+    rows = rows.withColumn("weight", F.col("weight") * scale)
     hashing = HashingTF(numFeatures=buckets, inputCol="__grams", outputCol="__features")
     counted = hashing.transform(rows.withColumn("__grams", grams_of(host_of(F.col("url")), path_of(F.col("url")), n)))
-    model = LogisticRegression(featuresCol="__features", maxIter=30, regParam=penalty, standardization=False, rawPredictionCol="__raw").fit(counted.select("label", "__features"))
+    model = LogisticRegression(featuresCol="__features", maxIter=30, regParam=penalty, standardization=False, rawPredictionCol="__raw", weightCol="weight").fit(counted.select("label", "weight", "__features"))
 
     def score(df: DataFrame) -> DataFrame:
         found = model.transform(hashing.transform(df.withColumn("__grams", grams_of(F.col("host"), F.col("path"), n))))

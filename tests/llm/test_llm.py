@@ -275,6 +275,14 @@ def test_url_model_learns(spark):
     assert urlfilter.judge(held.limit(0), labelled).count() == 0
 
 
+def test_url_model_of_many_copies(spark):
+    rows = [(f"http://{w}{i}.example.org/{w}/{i}", w == "casino") for w in ("casino", "news") for i in range(20)] * 30
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    held = spark.createDataFrame([(0, "http://casino77.example.org/casino/77"), (1, "http://news77.example.org/news/77")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(held, labelled, rules=(), most=20).collect()}
+    assert got == {0: "block", 1: "allow"}
+
+
 def test_mixing_targets_and_caps(spark, odd):
     rows, df = odd
     for some in (df, table(spark, [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "x"), (2, None, "x"), (3, "d", None), (4, "e " * 500, "y")])):
