@@ -7,13 +7,18 @@ one returns the pieces of the packed sequences.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import jaccard, mixing, packing, quality, substring
 from quillstone.llm.common import WORD, load, shared_dir
 
 
+def _row_key() -> Column:
+    """A key of the row's id and text, for tables where ids are null or repeated."""
+    return F.xxhash64("doc_id", "text")
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the co-trained classifier finds neither low in quality nor toxic."""
     models = quality.train(docs, load(spark, sf_dir, "labels"))
@@ -21,12 +26,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of the smallest doc_id of each component; of rows that repeat an id, the first text."""
-    found = jaccard.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return left.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    """Keeps the row of the smallest doc_id (null first) of each component. Rows link by their texts alone, also those that share an id or have none."""
+    keyed = docs.withColumn("__key", _row_key())
+    found = jaccard.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    ids = keyed.select("__key", "doc_id").distinct().join(found, "__key")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("least")).select(F.col("least.__key").alias("__key"))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +44,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as often as the mix takes them: whole times on lines of their own, then the first words of the last time."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("epochs").alias("__epochs"), F.col("extra").alias("__extra"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
+    keyed = docs.withColumn("__key", _row_key())
+    taken = mixing.mix(docs.withColumn("doc_id", _row_key())).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("epochs").alias("__epochs"), F.col("extra").alias("__extra"))
+    rows = keyed.join(taken, F.col("__key") == F.col("__id"))
     part = F.when(F.col("__extra") > 0, F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__extra").cast("int")), " "))).otherwise(F.array().cast("array<string>"))
     text = F.array_join(F.concat(F.array_repeat("text", F.col("__epochs").cast("int")), part), "\n")
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -65,3 +65,12 @@ def test_stages_take_null_rows_and_clashing_columns(spark, tmp_path):
                 assert out.columns == docs.columns
     copies = {r["doc_id"] for r in pipeline.near_copies(spark, docs, SF).collect()}
     assert copies == {1, 2, 3, None, 5}
+
+
+def test_stages_keep_different_texts_of_one_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(5, a), (5, b), (6, b), (6, c), (None, c), (None, d)]], "doc_id long, text string, lang string, source string, n_chars long")
+    left = pipeline.near_copies(spark, docs, SF).persist()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in left.collect()) == [(-1, c), (-1, d), (5, a), (5, b)]
+    mixed = pipeline.mix_sources(spark, left, SF).collect()
+    assert sorted(r["text"][0] for r in mixed) == ["a", "b", "c", "d"]
