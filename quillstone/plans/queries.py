@@ -202,6 +202,23 @@ def ground_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return G.ground(quotes, pages, "id").select("id", "grounded", "page_number", "reason")
 
 
+@query(
+    "q_ground_all_quotes",
+    """WITH s AS (SELECT doc_id, page_number, text, sum(length(text) + 2) OVER w - length(text) - 2 AS a, sum(length(text) + 2) OVER w - 2 AS b FROM (<pages>) WINDOW w AS (PARTITION BY doc_id ORDER BY page_number)),
+q AS (SELECT doc_id || ':' || CAST(n - 1 AS VARCHAR) AS id, doc_id, substr(text, 200, 60) AS quote, start_, end_ FROM (<chunks>)),
+h AS (SELECT id, min(CASE WHEN contains(trim(regexp_replace(s.text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN page_number END) AS page_number
+      FROM q JOIN s ON s.doc_id = q.doc_id AND a < end_ AND b > start_ GROUP BY id)
+SELECT q.id, length(trim(quote, ' ' || chr(10))) >= 12 AND h.page_number IS NOT NULL AS grounded, CASE WHEN length(trim(quote, ' ' || chr(10))) >= 12 THEN h.page_number END AS page_number,
+  CASE WHEN length(trim(quote, ' ' || chr(10))) < 12 THEN 'quote too short to be evidence' WHEN h.page_number IS NULL THEN 'quote not found on any page in range' END AS reason
+FROM q LEFT JOIN h ON h.id = q.id""",
+)
+def ground_all_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """A quote of every chunk; q_ground_quotes has the first chunks alone."""
+    pages = A.pages(spark, sf)
+    quotes = H.chunk_pages(pages).withColumn("quote", F.substring("text", 200, 60)).select("id", "doc_id", "page_start", "page_end", "quote")
+    return G.ground(quotes, pages, "id").select("id", "grounded", "page_number", "reason")
+
+
 @query("q_ground_benchmark", "SELECT item_id, CAST(d.doc_id AS VARCHAR) AS doc_id FROM {benchmark} b JOIN {documents} d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) AND length(trim(b.text)) >= 12")
 def ground_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     """Which documents hold which benchmark passage, of five words or more: they meet through the second to fourth word, which no cut touches."""

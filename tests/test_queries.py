@@ -18,3 +18,9 @@ def test_entry_has_grounded_and_rejected_rows(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_grounds_every_chunk(spark):
+    from quillstone.plans.queries import chunks
+
+    assert entry.entry(spark).count() == chunks(spark, "/root/testdata/sf0.001").count()
