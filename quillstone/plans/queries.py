@@ -376,6 +376,13 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(wanted).select(F.array_join(F.transform("evidence", lambda e: e["fact_id"]), "|").alias("ids"), F.size("evidence").cast("bigint").alias("n"))
 
 
+@query("q_all_evidence", f"{_ALL_SQL} SELECT ids, len(string_split(ids, '|')) AS n FROM every")
+def all_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence of every relation; q_evidence has that of four suppliers."""
+    found = L.with_evidence(L.relationships(A.facts(spark, sf)), A.facts(spark, sf))
+    return found.select(F.array_join(F.transform("evidence", lambda e: e["fact_id"]), "|").alias("ids"), F.size("evidence").cast("bigint").alias("n"))
+
+
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     pages = P.with_metrics(A.pages(spark, sf))
     return A.files(spark, sf).select("doc_id", "filename"), pages, H.chunk_pages(pages)
@@ -423,6 +430,13 @@ def rejections(spark: SparkSession, sf: str) -> DataFrame:
     return V.rejections(table, limit=20).select("chunk_id", "stage")
 
 
+@query("q_all_rejections", "SELECT chunk_id, stage FROM (SELECT chunk_id, CASE WHEN CAST(chunk_id AS BIGINT) % 10 IN (3, 7) THEN 'shape' ELSE 'parse' END AS stage, unnest(CASE WHEN CAST(chunk_id AS BIGINT) % 10 IN (3, 7) THEN [1, 2] ELSE [1] END) AS i FROM (<responses>) WHERE CAST(chunk_id AS BIGINT) % 10 IN (3, 4, 5, 6, 7, 9)) ORDER BY chunk_id, stage LIMIT 20")
+def all_rejections(spark: SparkSession, sf: str) -> DataFrame:
+    """The view over the rejections of all responses; q_rejections has one kind of fault."""
+    table = R.rejections_of(R.candidates(A.responses(spark, sf))).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    return V.rejections(table, limit=20).select("chunk_id", "stage")
+
+
 @query("q_page_map", "SELECT page_number, CAST(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS INT) AS char_count FROM (<pages>) WHERE doc_id = '4'")
 def page_map(spark: SparkSession, sf: str) -> DataFrame:
     return V.page_map(P.with_metrics(A.pages(spark, sf)), "4").select("page_number", "char_count")
