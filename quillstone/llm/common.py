@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words, and their negation as a Java/RE2 pattern.
 SPACE = (9, 10, 11, 12, 13, 32)
@@ -20,44 +21,69 @@ WORD = r"[^\x20\x09-\x0D]+"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
 _U = np.uint64
-_K = _U(0x9E3779B97F4A7C15)
-_K_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M = _U(0xD1342543DE82EF95)
 _M_INV = _U(pow(0xD1342543DE82EF95, -1, 1 << 64))
 #: Words beyond this many bytes are hashed one by one.
-_LONG = 1 << 16
+_LONG = 64
 _SLICE = 1 << 20
+#: A group with more than this part of all rows is hot; there are at most as many hot groups.
+HOT = 1000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (a local test session) a temporary folder is set instead.
-    """
+def _base_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, a temporary one, but only in a local session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="quillstone-")
-    ensure_checkpoint_dir(spark, base)
-    return f"{base.rstrip('/')}/quillstone-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession, base: str | None = None) -> None:
+        if held.isDefined():
+            return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="quillstone-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        base = base or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder name in the shared folder; what is in it goes when the session's JVM ends."""
+    out = f"{_base_dir(spark).rstrip('/')}/quillstone-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return out
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage into the shared folder, which outlives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    _base_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, spread: str) -> DataFrame:
+    """Left join of rows to groups (keys, n: the group's rows, and more columns), whatever share of all rows a group has.
+
+    At most HOT groups have over total / HOT rows; those are broadcast, and their rows go on by the
+    column `spread`. The other groups meet their rows by the keys.
+    """
+    more = [c for c in groups.columns if c not in (*keys, "n")]
+    hot = groups.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in more))
+    rest = groups.where(F.col("n") * HOT <= total).select(*keys, F.lit(0).cast("long").alias("__salt"), *more)
+    known = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    found = known.join(rest, [*keys, "__salt"], "left")
+    return found.select(*rows.columns, *(F.coalesce(f"__hot_{c}", c).alias(c) for c in more))
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[5:]
@@ -128,19 +154,21 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
+    """Powers of the multiplier of long windows, and of its inverse."""
+
     def __init__(self) -> None:
         self.n = 0
 
-    def get(self, n: int, base: np.uint64, inverse: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, _SLICE + _LONG)
-            a, b = np.full(self.n, base), np.full(self.n, inverse)
+            self.n = max(n, _SLICE + (1 << 10))
+            a, b = np.full(self.n, _M), np.full(self.n, _M_INV)
             a[0] = b[0] = 1
             self.up, self.down = np.multiply.accumulate(a), np.multiply.accumulate(b)
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(), _Powers()
+_POWERS = _Powers()
 
 
 def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,30 +187,30 @@ def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: polynomials by prefix sums, then mixed."""
-    out = np.zeros(len(starts), np.uint64)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, eight at a time through a bijective mixer; words of up to eight bytes and one length never collide.
+
+    Every eight bytes are mixed before the next are added, so no sums of powers can cancel. Words of
+    over 64 bytes have their xxh3 instead.
+    """
     lens = ends - starts
-    at = 0
-    while at < len(starts):
-        lo = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, lo + _SLICE, "right")))
-        if lens[at] > _LONG:
-            to = at + 1
-        else:
-            far = np.flatnonzero(lens[at:to] > _LONG)
-            to = at + int(far[0]) if len(far) else to
-        if lens[at] > _LONG:
-            out[at] = xxhash.xxh3_64_intdigest(raw[lo : int(ends[at])].tobytes())
-        else:
-            part = raw[lo : int(ends[to - 1])]
-            up, down = _BYTE_POWERS.get(len(part), _K, _K_INV)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + _U(1)) * up, out=sums[1:])
-            s, e = starts[at:to] - lo, ends[at:to] - lo
-            out[at:to] = (sums[e] - sums[s]) * down[s]
-        at = to
-    return mix(out ^ (lens.astype(np.uint64) * _M))
+    if not len(lens):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    keep = ~_U(0) >> (_U(64) - _U(8) * np.arange(9, dtype=np.uint64))
+    keep[0] = 0
+    out = mix((eight[starts] & keep[np.minimum(lens, 8)]) ^ (lens.astype(np.uint64) * _M + _U(seed)))
+    some = np.flatnonzero(lens > 8)
+    at = 8
+    while len(some):
+        left = lens[some] - at
+        out[some] = mix(out[some] * _M + mix((eight[starts[some] + at] & keep[np.minimum(left, 8)]) ^ _U(at)))
+        at += 8
+        some = some[(left > 8) & (lens[some] <= _LONG)]
+    for i in np.flatnonzero(lens > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
+    return out
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -199,7 +227,7 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     out = np.empty(count, np.uint64)
     for at in range(0, count, _SLICE):
         part = words[at : min(at + _SLICE, count) + n - 1]
-        up, down = _WORD_POWERS.get(len(part), _M, _M_INV)
+        up, down = _POWERS.get(len(part))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(part * up, out=sums[1:])
         m = len(part) - n + 1

@@ -67,6 +67,29 @@ def test_word_and_window_hashes_follow_the_words():
         assert len({(int(x), tuple(w[i : i + n].tolist())) for i, x in enumerate(h)}) == len({tuple(w[i : i + n].tolist()) for i in range(len(h))})
 
 
+def thue_morse(order, a, b):
+    """Two words of 2^order letters whose polynomial hashes agree for every odd base once the order is 10."""
+    for _ in range(order):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_word_hashes_have_no_cancelling_sums():
+    words = [w for order in range(11) for w in thue_morse(order, "a", "b")]
+    raw, offs = buffer_of(pa.array([" ".join(words)]))
+    starts, ends, _ = word_spans(raw, offs)
+    assert len(set(word_hashes(raw, starts, ends).tolist())) == len(words)
+
+
+def test_words_whose_sums_cancel_stay_apart(spark):
+    one, two = thue_morse(10, "a", "b")
+    shared = passage(3, 49)
+    df = table(spark, [(1, " ".join([*shared, one]), "s"), (2, " ".join([*shared, two]), "s"), (3, one, "s"), (4, two, "s")])
+    assert {(r["doc_id"], r["n_removed"]) for r in substring.dedup(df).collect()} == {(i, 0) for i in range(1, 5)}
+    apart = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()}
+    assert (apart[3], apart[4]) == (3, 4)
+
+
 def test_tokens_by_word_equal_whole_texts():
     import public_tokenizers
 
