@@ -1,17 +1,20 @@
 """Lexical retrieval packing: a sharded BM25 index returns unused neighbours that fill each seed's window.
 
 Terms are token ids, so document frequencies over the whole corpus are at most one number for each
-vocabulary entry, whatever the corpus' size. Every document goes to the groups of its strongest
-(highest-idf) terms, meets there documents of the whole corpus, and keeps its best BM25 neighbour of
-all its groups. Documents that these links connect lie side by side, and the order of the links'
-components is dealt into shards of a bounded number of tokens; a hot source or group of copies simply
-spans several shards. Each shard is indexed and packed on its own with the corpus-wide statistics.
+vocabulary entry, whatever the corpus' size. An index over the whole corpus, sharded by key, posts
+every document under each pair of its strongest (highest-idf) terms; a document's neighbour is one
+that shares its strongest pair with another document. Following these links a few steps gives
+documents of one subject one label, and the order of labels is dealt into shards of a bounded number
+of tokens; a hot source or group of copies simply spans several shards. Each shard is then indexed
+whole, and seeds take their unused neighbours in the order of their BM25 scores with the corpus-wide
+statistics.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,37 +23,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, load, pieces, ragged, shared_dir
-from .jaccard import components
+from .common import checkpoint, join_groups, load, pieces, ragged, shared_dir
 from .tokens import worker_tokenizer
 
 WINDOW = 4096
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
-#: Groups that a document is routed to, strongest terms that its score in a group counts, documents scored at once.
-ROUTES, TERMS, GROUP = 4, 32, 256
+#: Strongest terms of a document, whose pairs it is posted under; rounds of following links, each doubling the steps.
+STRONGEST, ROUNDS = 4, 2
+#: Documents coded at once.
+_TEXTS = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _terms(ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (row, id) pairs of ragged rows, in order."""
+    width = int(ids.max(initial=0)) + 1
+    coded = np.unique(np.repeat(np.arange(len(offs) - 1, dtype=np.int64) * width, np.diff(offs)) + ids)
+    return coded // width, coded % width
+
+
 def tokenised(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Writes doc_id, node, n_tokens and ids (little-endian uint16 if they fit) of all texts to `path` and reads them.
 
-    A node is the text's lexical key (its rarest merge: the largest token id) above 40 bits of a hash
-    of its ids, so equal texts are one node and nodes sort by the key.
+    A node is a hash of the ids, so equal texts are one node. Each task adds a row without a node
+    whose ids are its documents' frequencies, one 64-bit number for each id, and whose doc_id and n_tokens are
+    the numbers of its documents and tokens.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_tokenizer(tokenizer)
+        total, rows, size = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, _TEXTS):
+                some = batch.slice(at, _TEXTS)
                 ids, offs = encoder.encode(some.column(1), end_id)
-                lens = np.diff(offs)
-                key = np.maximum.reduceat(ids, offs[:-1]) if len(ids) else np.zeros(0)
+                seen = np.bincount(_terms(ids, offs)[1], minlength=len(total))
+                seen[: len(total)] += total
+                total, rows, size = seen, rows + some.num_rows, size + len(ids)
                 raw = ids.astype("<u4").tobytes()
                 own = [_narrow(raw[a:b]) for a, b in zip((4 * offs[:-1]).tolist(), (4 * offs[1:]).tolist(), strict=True)]
-                node = key.astype(np.int64) << 40 | np.array([xxhash.xxh3_64_intdigest(x) & (1 << 40) - 1 for x in own], np.int64)
-                yield pa.record_batch({"doc_id": some.column(0), "node": pa.array(node, pa.int64()), "n_tokens": lens, "ids": pa.array(own, pa.binary())})
+                node = np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64).view(np.int64)
+                yield pa.record_batch({"doc_id": some.column(0), "node": node, "n_tokens": np.diff(offs), "ids": pa.array(own, pa.binary())})
+        yield pa.record_batch({"doc_id": pa.array([rows], pa.int64()), "node": pa.nulls(1, pa.int64()), "n_tokens": pa.array([size], pa.int64()), "ids": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows.mapInArrow(encode, "doc_id long, node long, n_tokens long, ids binary").write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -63,27 +78,25 @@ def _narrow(raw: bytes) -> bytes:
     return ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else raw
 
 
-def _ids(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int64)
+def _ids(raw: bytes | pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if memoryview(raw).nbytes == 2 * n else "<u4").astype(np.int64)
 
 
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     """Over all documents: in how many each token id occurs, the number of documents and of tokens."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        docs = size = 0
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, docs, size = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = np.bincount(_ids(raw, n)) > 0
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[: len(seen)] += seen
-                docs, size = docs + 1, size + n
+            for n, m, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                more = np.frombuffer(raw.as_buffer(), "<i8").copy()
+                small, total = (total, more) if len(more) > len(total) else (more, total)
+                total[: len(small)] += small
+                docs, size = docs + n, size + m
         some = np.flatnonzero(total)
         yield pa.record_batch({"term": np.concatenate([some, [-1, -2]]), "df": np.concatenate([total[some], [docs, size]])})
 
-    rows = tokens.select("ids", "n_tokens").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    rows = tokens.where("node IS NULL").select("doc_id", "n_tokens", "ids").mapInArrow(add, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     got = {r["term"]: r["df"] for r in rows}  # at most one row for each entry of the vocabulary
     out = np.zeros(max(0, *got) + 1 if got else 1, np.int64)
     for k, v in got.items():
@@ -96,73 +109,61 @@ def _weights(idf: np.ndarray, tf: np.ndarray, length: np.ndarray | int, mean: fl
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def best_of_group(nodes: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each document of a group its best-scored other one (place and score)."""
-    row = np.repeat(np.arange(len(nodes)), [len(x) for x in terms])
-    own, place = np.unique(np.concatenate(terms), return_inverse=True)
-    asks, has = np.zeros((2, len(nodes), len(own)), np.float32)
-    asks[row, place], has[row, place] = 1, np.concatenate(weights)
-    scores = asks @ has.T
-    np.fill_diagonal(scores, -1)
-    best = scores.argmax(1)
-    return best, scores[np.arange(len(nodes)), best]
+def strongest(ids: np.ndarray, offs: np.ndarray, strength: np.ndarray, most: int = STRONGEST) -> np.ndarray:
+    """For each row its `most` distinct ids of the greatest strength (ties to the smaller id), -1 where there are fewer of any strength."""
+    row, term = _terms(ids, offs)
+    row, term = row[good := strength[term] > 0], term[good]
+    order = np.lexsort((-strength[term], row))
+    row, term = row[order], term[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    out = np.full((len(offs) - 1, most), -1, np.int32)
+    top = rank < most
+    out[row[top], rank[top]] = term[top]
+    return out
 
 
-def neighbours(tokens: DataFrame, df: np.ndarray, idf: np.ndarray, mean: float) -> DataFrame:
-    """a, b: of each node (distinct text) the best neighbour among all groups of its strongest terms.
+def labels(tokens: DataFrame, df: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """node, label, t0, t1, ...: of each distinct text the label of its subject and its strongest terms.
 
-    A term that one document alone has, or more than half of all, leads nowhere. Groups lie in the order
-    of their terms, a large one in the order of its documents' strongest terms and in parts of GROUP.
+    A term that one document alone has, or more than half of all, leads nowhere. Every text is posted
+    under all pairs of its strongest terms; it links to the smallest text (the smallest itself to the
+    greatest) of the pair with the greatest idf that another text has too. Texts without such a pair
+    are their own label. A posting list is only ever an aggregate, so a hot pair is no hot task.
     """
-    shared = tokens.sparkSession.sparkContext.broadcast((np.where(df > 1, idf, 0), mean))
+    shared = tokens.sparkSession.sparkContext.broadcast(np.where(df > 1, idf, 0))  # a number for each entry of the vocabulary
+    terms = [f"t{i}" for i in range(STRONGEST)]
 
-    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strength, mean = shared.value
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(4)]
-            for node, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                term, tf = np.unique(_ids(raw.as_buffer().to_pybytes(), n), return_counts=True)
-                top = np.argsort(-strength[term], kind="stable")[:TERMS]
-                top = top[strength[term[top]] > 0]
-                if len(top):
-                    weight = _weights(strength[term[top]], tf[top], n, mean)
-                    for c, v in zip(cols, (node, term[top[:ROUTES]].tolist(), term[top].astype("<u4").tobytes(), weight.astype("<f4").tobytes()), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
-            yield pa.record_batch({k: pa.array(c, t) for k, c, t in zip(("node", "routes", "terms", "weights"), cols, kinds, strict=True)})
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        found: list[list[np.ndarray]] = []
-
-        def flush() -> None:
-            if len(held) > 1:
-                nodes = np.array([x[0] for x in held], np.int64)
-                best, score = best_of_group(nodes, [np.frombuffer(x[1], "<u4") for x in held], [np.frombuffer(x[2], "<f4") for x in held])
-                found.append([nodes, nodes[best], score.astype(float)])
-            held.clear()
-
-        def out() -> pa.RecordBatch:
-            cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            found.clear()
-            return pa.record_batch(dict(zip(("a", "b", "score"), cols, strict=True)))
-
-        last = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for term, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if term != last or len(held) == GROUP:
-                    flush()
-                last = term
-                held.append(tuple(row))
-            yield out()
-        flush()
-        yield out()
-
-    strong = tokens.select("node", "n_tokens", "ids").mapInArrow(strongest, "node long, routes array<int>, terms binary, weights binary").dropDuplicates(["node"])
-    routed = strong.select(F.explode("routes").alias("term"), "routes", "node", "terms", "weights")
-    routed = routed.repartitionByRange(pieces(tokens, 16 << 20), "term", "routes", "node").sortWithinPartitions("term", "routes", "node")
-    met = routed.select("term", "node", "terms", "weights").mapInArrow(meet, "a long, b long, score double")
-    return met.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+            for at in range(0, batch.num_rows, _TEXTS):
+                some = batch.slice(at, _TEXTS)
+                rows = [_ids(raw.as_buffer(), n) for raw, n in zip(some.column(2), some.column(1).to_pylist(), strict=True)]
+                offs = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+                top = strongest(np.concatenate(rows) if rows else np.zeros(0, np.int64), offs, shared.value)
+                power = np.where(top >= 0, shared.value[top], -1e9).astype(np.float64)
+                yield pa.record_batch({"node": some.column(0), **{t: top[:, i] for i, t in enumerate(terms)}, **{f"p{i}": power[:, i] for i in range(STRONGEST)}})
+
+    schema = "node long, " + ", ".join(f"{t} int" for t in terms) + ", " + ", ".join(f"p{i} double" for i in range(STRONGEST))
+    texts = checkpoint(tokens.where("node IS NOT NULL").select("node", "n_tokens", "ids").mapInArrow(run, schema).dropDuplicates(["node"]))
+    pair = lambda i, j: F.struct(F.least(f"t{i}", f"t{j}").alias("a"), F.greatest(f"t{i}", f"t{j}").alias("b"), (F.col(f"p{i}") + F.col(f"p{j}")).alias("power"))
+    posted = texts.select("node", F.explode(F.array(*[pair(i, j) for i, j in combinations(range(STRONGEST), 2)])).alias("key")).where("key.a >= 0").select("node", "key.*")
+    lists = posted.groupBy("a", "b").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max("power").alias("power"), F.count("*").alias("n")).where("least < most")
+    # a posting list's two ends come back to its texts by the pair; what travels is narrow
+    total = texts.count()
+    ends = join_groups(posted.select("node", "a", "b"), lists, ["a", "b"], total, "node").where("power IS NOT NULL")
+    best = ends.groupBy("node").agg(F.max(F.struct("power", "a", "b", F.when(F.col("node") == F.col("least"), F.col("most")).otherwise(F.col("least")).alias("to"))).alias("best"))
+    links = checkpoint(best.select("node", F.col("best.to").alias("to")))
+
+    def follow(step: DataFrame, by: DataFrame) -> DataFrame:
+        """node, to and where `by` leads from there: every link leads to a text with a link of its own, but many to the same one."""
+        asked = step.groupBy("to").agg(F.count("*").alias("n")).join(by.select(F.col("node").alias("to"), F.col("to").alias("then")), "to")
+        return join_groups(step, asked, ["to"], total, "node")
+
+    step = links
+    for _ in range(ROUNDS):
+        step = checkpoint(follow(step, step).select("node", F.col("then").alias("to")))
+    last = follow(step, links).select("node", F.least("to", "then").alias("label"))
+    return texts.join(last, "node", "left").select("node", F.coalesce("label", "node").alias("label"), *terms)
 
 
 class _Bm25:
@@ -230,15 +231,14 @@ def pack_shard(names: list, texts: list[np.ndarray], idf: np.ndarray, mean: floa
         if unused.any():
             order = np.argsort(-index.scores(seed), kind="stable")
             order = order[unused[order]]
-            sizes = left[some[order]]
-            for k, n in zip(order[:64].tolist(), sizes[:64].tolist(), strict=True):
-                if n <= room:
-                    take(k)
-            for k in order.tolist():
+            sizes, at = left[some[order]], 0
+            while room and (fits := sizes[at:] <= room).any():  # every neighbour is tried whole, best first
+                at += int(fits.argmax()) + 1
+                take(order[at - 1])
+            for k in order[unused[order]].tolist():
                 if not room:
                     break
-                if unused[k]:
-                    take(k)
+                take(k)
         if room == 0:
             out.append(own)
             continue
@@ -298,9 +298,11 @@ def pack(docs: DataFrame, tokenizer: str, work: str, end_id: int = 2, window: in
         if names:
             yield flush()
 
-    roots = components(checkpoint(neighbours(tokens, df, idf, mean))).withColumnRenamed("node", "__node")
-    placed = tokens.join(roots, F.col("node") == F.col("__node"), "left").select("doc_id", "node", "n_tokens", "ids", F.coalesce("root", "node").alias("root"))
-    dealt = placed.repartitionByRange(pieces(docs, 16 << 20), "root", "node", "doc_id", "n_tokens").sortWithinPartitions("root", "node", "doc_id", "ids")
+    found = labels(tokens, df, idf)
+    # labels are dealt by their hash, so that long documents do not lie side by side
+    by = [F.xxhash64("label"), F.col("label"), *[F.col(f"t{i}") for i in range(STRONGEST)], F.col("node"), F.col("doc_id")]
+    placed = tokens.where("node IS NOT NULL").join(found, "node")
+    dealt = placed.repartitionByRange(pieces(docs, 16 << 20), *by).sortWithinPartitions(*by)
     return dealt.select("doc_id", "n_tokens", "ids").mapInArrow(run, PIECES + ", ids binary" * include_ids)
 
 
