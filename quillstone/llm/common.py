@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words, and their negation as a Java/RE2 pattern.
@@ -70,16 +70,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, spread: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, spread: str, alone: Column | None = None) -> DataFrame:
     """Left join of rows to groups (keys, n: the group's rows, and more columns), whatever share of all rows a group has.
 
     At most HOT groups have over total / HOT rows; those are broadcast, and their rows go on by the
-    column `spread`. The other groups meet their rows by the keys.
+    column `spread`, as those do that `alone` says have no group. The other groups meet their rows by the keys.
     """
     more = [c for c in groups.columns if c not in (*keys, "n")]
     hot = groups.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in more))
     rest = groups.where(F.col("n") * HOT <= total).select(*keys, F.lit(0).cast("long").alias("__salt"), *more)
-    known = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    known = rows.join(F.broadcast(hot), keys, "left")
+    if alone is not None:
+        known = known.withColumns({c: F.when(~alone, F.col(c)) for c in hot.columns if c not in keys})
+    known = known.withColumn("__salt", F.when(F.col("__hot") if alone is None else F.col("__hot") | alone, F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
     found = known.join(rest, [*keys, "__salt"], "left")
     return found.select(*rows.columns, *(F.coalesce(f"__hot_{c}", c).alias(c) for c in more))
 

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, load, mix, pieces, shared_dir, shingle_sets, strings
-from .substring import _cut, _packed_bits
+from .common import checkpoint, join_groups, load, mix, pieces, remove_dir, shared_dir, shingle_sets, strings
+from .substring import _cut, _packed_bits, _parts, messages
 
 SHINGLE = 5
 NEIGHBOURHOODS = 4
@@ -209,13 +209,16 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path.
     """
     now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    total, before = 2 * now.count(), None
+
+    def starred(rows: DataFrame) -> DataFrame:
+        """Rows u, v with the smallest v of their u (m); a hub may have a third of all rows."""
+        return join_groups(rows, rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], total, "v")
+
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        large = starred(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = starred(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = checkpoint(small)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state["n"]:
@@ -309,8 +312,8 @@ class _Join:
             keys = r.all_entries()[0]
             bucket = bucket_of(keys)
             order = np.argsort(bucket, kind="stable")
-            out = pa.table({"chunk": pa.array([key[0].as_py()] * buckets, pa.int64()), "bucket": pa.array(range(buckets), pa.int64()), "keys": pa.array(_cut(keys.astype("<u4")[order], bucket, buckets), pa.binary())})
-            return out.filter(pa.array(np.bincount(bucket, minlength=buckets) > 0))
+            parts = _parts(bucket[order])
+            return messages(key[0].as_py(), parts, keys=_cut(keys.astype("<u4")[order], parts))
 
         def count(_: tuple, table: pa.Table) -> pa.Table:
             parts = [np.frombuffer(x.as_buffer(), "<u4") for x in table["keys"]]
@@ -339,14 +342,12 @@ class _Join:
 
         def send_roots(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
             _, roots, keys, rec, _, _, bucket, _, some = shared_entries(table, right)
-            ends = np.cumsum(np.bincount(bucket[some], minlength=buckets))
-            root, who = [], []
-            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            root, who, parts = [], [], _parts(bucket[some])
+            for _, a, b in parts:
                 own, index = np.unique(roots[rec[some[a:b]]], return_inverse=True)
                 root.append(own.astype("<i8").tobytes())
                 who.append(index.astype("<u4").tobytes())
-            out = pa.table({"chunk": pa.array([key[0].as_py()] * buckets, pa.int64()), "bucket": pa.array(range(buckets), pa.int64()), "keys": pa.array(_cut(keys[some], bucket[some], buckets), pa.binary()), "roots": pa.array(root, pa.binary()), "who": pa.array(who, pa.binary())})
-            return out.filter(pa.array(np.bincount(bucket[some], minlength=buckets) > 0))
+            return messages(key[0].as_py(), parts, keys=_cut(keys[some], parts), roots=root, who=who)
 
         def mixed(_: tuple, table: pa.Table) -> pa.Table:
             """Which entries share their signature with another component."""
@@ -362,14 +363,12 @@ class _Join:
         def send_shared(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
             r, roots, keys, rec, deleted, probe_only, bucket, active, some = shared_entries(table, right)
             got = {n: s for k, n, s in zip(right["kind"].to_pylist(), right["n"].to_pylist(), right["s"], strict=True) if k == "mixed"}
-            count = np.bincount(bucket[some], minlength=buckets)
-            bits = [np.unpackbits(np.frombuffer(got[b].as_buffer(), np.uint8), count=int(count[b])) for b in np.flatnonzero(count).tolist()]
+            bits = [np.unpackbits(np.frombuffer(got[b].as_buffer(), np.uint8), count=to - at) for b, at, to in _parts(bucket[some])]
             some = some[np.concatenate(bits) > 0] if bits else some
-            ends = np.cumsum(np.bincount(bucket[some], minlength=buckets))
             drawn = np.unique(2 * rec[some] + probe_only[some])
             sketch = dict(zip(drawn.tolist(), r.sketches(drawn >> 1, drawn & 1), strict=True))
-            names, sizes, root, who, flags, odd = [], [], [], [], [], []
-            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            names, sizes, root, who, flags, odd, parts = [], [], [], [], [], [], _parts(bucket[some])
+            for _, a, b in parts:
                 own, index = np.unique(2 * rec[some[a:b]] + probe_only[some[a:b]], return_inverse=True)
                 odd.append(b"".join(sketch[x] for x in own.tolist()))
                 own = own >> 1
@@ -378,8 +377,7 @@ class _Join:
                 root.append(roots[own].astype("<i8").tobytes())
                 who.append(index.astype("<u4").tobytes())
                 flags.append((active[some[a:b]] + 2 * deleted[some[a:b]] + 4 * probe_only[some[a:b]]).astype(np.uint8).tobytes())
-            out = pa.table({"bucket": pa.array(range(buckets), pa.int64()), "keys": pa.array(_cut(keys[some], bucket[some], buckets), pa.binary()), **{k: pa.array(v, pa.binary()) for k, v in (("names", names), ("sizes", sizes), ("roots", root), ("who", who), ("flags", flags), ("sketches", odd))}})
-            return out.filter(pa.array(np.bincount(bucket[some], minlength=buckets) > 0))
+            return messages(key[0].as_py(), parts, keys=_cut(keys[some], parts), names=names, sizes=sizes, roots=root, who=who, flags=flags, sketches=odd).drop_columns("chunk")
 
         def pairs(_: tuple, table: pa.Table) -> pa.Table:
             raw = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
@@ -427,18 +425,17 @@ class _Join:
             return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
         sent = self.cogroup(right, send, "chunk long, bucket long, keys binary")
-        levels = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, levels binary")
+        levels = sent.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(count, "chunk long, bucket long, levels binary")
         more = right.unionByName(_tagged(levels, "chunk", kind="levels", n="bucket", s="levels"))
         told = self.cogroup(more, send_roots, "chunk long, bucket long, keys binary, roots binary, who binary")
-        bits = told.groupBy("bucket").applyInArrow(mixed, "chunk long, bucket long, bits binary")
+        bits = told.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(mixed, "chunk long, bucket long, bits binary")
         more = more.unionByName(_tagged(bits, "chunk", kind="mixed", n="bucket", s="bits"))
         shared = self.cogroup(more, send_shared, "bucket long, keys binary, names binary, sizes binary, roots binary, who binary, flags binary, sketches binary")
-        return checkpoint(shared.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct())
+        return checkpoint(shared.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct())
 
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_dir(self.spark, self.path)
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -459,25 +456,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     rows = checkpoint(fingerprints(docs))
-    whole = rows.where("n_shingles > 0")
-    classes = whole.groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("class_id"))
-    named = checkpoint(rows.join(classes, ["n_shingles", "x", "y"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
-    solid = named.where("n_shingles > 0")
+    total = rows.count()
+    classes = checkpoint(rows.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")))
+    named = join_groups(rows, classes, ["n_shingles", "x", "y"], total, "doc_id", alone=F.col("n_shingles") == 0)
+    named = checkpoint(named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     # an id with several texts joins their classes
-    twice = solid.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("a", "b")
+    twice = named.where("n_shingles > 0").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("a", "b")
     join = _Join(docs)
-    reps = checkpoint(solid.select(F.col("class_id").alias("id")).distinct().withColumn("chunk", join.chunk("id")))
-    links = checkpoint(join.verified(join.star_pairs(reps)).unionByName(twice))
-    roots = components(links)
-    known = reps.join(roots, F.col("id") == F.col("node"), "left").select("id", "chunk", F.coalesce("root", "id").alias("root"))
-    links = links.unionByName(join.verified(join.cross_pairs(checkpoint(known))))
-    roots = components(links)
-    out = named.join(roots, F.col("class_id") == F.col("node"), "left")
-    real = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
-    out = out.withColumn("root", F.coalesce("root", "class_id"))
-    out = checkpoint(out.select(real("doc_id").alias("doc_id"), "n_shingles", real("class_id").alias("class_id"), real("root").alias("component_id")))
-    join.close()
-    return out
+    try:
+        reps = checkpoint(classes.select(F.col("class_id").alias("id")).distinct().withColumn("chunk", join.chunk("id")))
+        links = checkpoint(join.verified(join.star_pairs(reps)).unionByName(twice))
+        roots = components(links)
+        known = reps.join(roots, F.col("id") == F.col("node"), "left").select("id", "chunk", F.coalesce("root", "id").alias("root"))
+        links = links.unionByName(join.verified(join.cross_pairs(checkpoint(known))))
+        sized = classes.groupBy("class_id").agg(F.sum("n").alias("n"))
+        roots = components(links).select(F.col("node").alias("class_id"), "root").join(sized, "class_id")
+        out = join_groups(named, roots, ["class_id"], total, "doc_id", alone=F.col("n_shingles") == 0)
+        real = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
+        out = out.withColumn("root", F.coalesce("root", "class_id"))
+        return checkpoint(out.select(real("doc_id").alias("doc_id"), "n_shingles", real("class_id").alias("class_id"), real("root").alias("component_id")))
+    finally:
+        join.close()
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

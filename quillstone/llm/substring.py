@@ -76,8 +76,8 @@ class _Chunk:
         at, doc, value, fixed, bucket = self.probes()
         order, fixed_order = np.argsort(bucket, kind="stable"), np.argsort(bucket[fixed], kind="stable")
         mark = np.zeros(len(self.words) + 1, bool)
-        mark[at[order]] = _bits(replies, "probes", np.bincount(bucket, minlength=self.buckets))
-        mark[at[fixed[fixed_order]]] |= _bits(replies, "blocks", np.bincount(bucket[fixed], minlength=self.buckets))
+        mark[at[order]] = _bits(replies, "probes", bucket[order])
+        mark[at[fixed[fixed_order]]] |= _bits(replies, "blocks", bucket[fixed][fixed_order])
         # hits among the chunk's own documents
         if len(fixed):
             by = np.argsort(value[fixed], kind="stable")
@@ -109,23 +109,31 @@ class _Chunk:
         return keys, first, inverse, bucket, order
 
 
-def _bits(replies: pa.Table, name: str, counts: np.ndarray) -> np.ndarray:
-    """The replies' bits in bucket order; buckets without a reply have none set."""
+def _bits(replies: pa.Table, name: str, bucket: np.ndarray) -> np.ndarray:
+    """The replies' bits for values in these (sorted) buckets; buckets without a reply have none set."""
     got = dict(zip(replies["bucket"].to_pylist(), replies[name], strict=True)) if replies.num_rows else {}
-    out = np.zeros(int(counts.sum()), bool)
-    at = 0
-    for b, n in enumerate(counts.tolist()):
-        if n and (raw := got.get(b)) is not None and raw.is_valid:
-            out[at : at + n] = np.unpackbits(np.frombuffer(raw.as_buffer(), np.uint8), count=n)
-        at += n
+    out = np.zeros(len(bucket), bool)
+    for b, at, to in _parts(bucket):
+        if (raw := got.get(b)) is not None and raw.is_valid:
+            out[at:to] = np.unpackbits(np.frombuffer(raw.as_buffer(), np.uint8), count=to - at)
     return out
 
 
-def _cut(values: np.ndarray, bucket: np.ndarray, buckets: int) -> list[bytes]:
-    """The bytes of values, which are in bucket order, by bucket."""
-    ends = np.cumsum(np.bincount(bucket, minlength=buckets)) * values.itemsize
-    raw = values.tobytes()
-    return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+def _parts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """Bucket, start and end of each bucket that occurs in the sorted array."""
+    own, start = np.unique(bucket, return_index=True)
+    return list(zip(own.tolist(), start.tolist(), np.append(start[1:], len(bucket)).tolist()[: len(own)], strict=True))
+
+
+def _cut(values: np.ndarray, parts: list[tuple[int, int, int]]) -> list[bytes]:
+    """The bytes of the values of each part."""
+    raw, size = values.tobytes(), values.itemsize
+    return [raw[a * size : b * size] for _, a, b in parts]
+
+
+def messages(chunk: int, parts: list[tuple[int, int, int]], **columns: list[bytes]) -> pa.Table:
+    """A row for each bucket that a chunk has something for, and only for those."""
+    return pa.table({"chunk": pa.array([chunk] * len(parts), pa.int64()), "bucket": pa.array([b for b, _, _ in parts], pa.int64()), **{k: pa.array(v, pa.binary()) for k, v in columns.items()}})
 
 
 def _groups(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,22 +200,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
     def send_blocks(key: tuple, table: pa.Table) -> pa.Table:
         _, _, value, fixed, bucket = _Chunk(table, window, buckets).probes()
         low = value.astype("<u4")
-        a, b = np.argsort(bucket, kind="stable"), np.argsort(bucket[fixed], kind="stable")
-        out = pa.table({"chunk": pa.array([key[0].as_py()] * buckets, pa.int64()), "bucket": pa.array(range(buckets), pa.int64()), "probes": pa.array(_cut(low[a], bucket, buckets), pa.binary()), "blocks": pa.array(_cut(low[fixed[b]], bucket[fixed], buckets), pa.binary())})
-        return out.filter(pa.array(np.bincount(bucket, minlength=buckets) > 0))
+        a = np.argsort(bucket, kind="stable")
+        b = fixed[np.argsort(bucket[fixed], kind="stable")]
+        parts_ = _parts(bucket[a])
+        blocks = dict(zip((x for x, _, _ in _parts(bucket[b])), _cut(low[b], _parts(bucket[b])), strict=True))
+        return messages(key[0].as_py(), parts_, probes=_cut(low[a], parts_), blocks=[blocks.get(x, b"") for x, _, _ in parts_])
 
     def send_windows(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, buckets)
         _, docs_, values = chunk.near(replies)
         keys, first, _, bucket, order = chunk.first_of(docs_, values)
-        names, firsts = [], []
-        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        names, firsts, parts_ = [], [], _parts(bucket[order])
+        for _, a, b in parts_:
             own, index = np.unique(first[order[a:b]], return_inverse=True)
             names.append(own.astype("<i8").tobytes())
             firsts.append(index.astype("<u4").tobytes())
-        out = pa.table({"chunk": pa.array([key[0].as_py()] * buckets, pa.int64()), "bucket": pa.array(range(buckets), pa.int64()), "windows": pa.array(_cut(keys[order], bucket, buckets), pa.binary()), "names": pa.array(names, pa.binary()), "firsts": pa.array(firsts, pa.binary())})
-        return out.filter(pa.array(np.bincount(bucket, minlength=buckets) > 0))
+        return messages(key[0].as_py(), parts_, windows=_cut(keys[order], parts_), names=names, firsts=firsts)
 
     def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, buckets)
@@ -215,7 +223,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
         places, docs_, values = chunk.near(replies.filter(replies["probes"].is_valid()))
         keys, first, inverse, bucket, order = chunk.first_of(docs_, values)
         earlier = np.zeros(len(keys), bool)
-        earlier[order] = _bits(seconds, "windows", np.bincount(bucket, minlength=buckets))
+        earlier[order] = _bits(seconds, "windows", bucket[order])
         gone = places[earlier[inverse] | (first[inverse] < chunk.ids[chunk.used[docs_]])]
         steps = np.zeros(len(chunk.words) + window + 1, np.int32)
         np.add.at(steps, gone, 1)
@@ -239,9 +247,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
         return pa.table({**{h: table[h].take(pa.array(chunk.order)) for h in held}, "doc_id": pa.array(chunk.ids, mask=chunk.null), "n_words": chunk.counts, "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string()), "repeats": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     sent = dealt.groupBy("chunk").applyInArrow(send_blocks, "chunk long, bucket long, probes binary, blocks binary")
-    hits = sent.groupBy("bucket").applyInArrow(match_blocks, _REPLY)
+    hits = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(match_blocks, _REPLY)
     sent = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, "chunk long, bucket long, windows binary, names binary, firsts binary")
-    earlier = sent.groupBy("bucket").applyInArrow(match_windows, _REPLY)
+    earlier = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(match_windows, _REPLY)
     schema = "".join(f"{h} {rows.schema[h].dataType.simpleString()}, " for h in held) + "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start: long, end: long>>"
     out = dealt.groupBy("chunk").cogroup(hits.unionByName(earlier).groupBy("chunk")).applyInArrow(remove, schema)
     row = F.struct(*(F.col(h).alias(c) for c, h in zip(carry, held, strict=True))).alias("row")
