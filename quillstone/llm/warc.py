@@ -8,6 +8,7 @@ number with at most `chunk` bytes, the bytes and the SHA-256 so far, and never h
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, make_dir, open_fs, shared_dir
+from .common import checkpoint, join_groups, load, make_dir, open_fs, shared_dir
 
 #: Payloads under so many bytes are never revisits; bytes of a chunk; of a file before the next begins; gzip level.
 LEAST = 100
@@ -34,6 +35,7 @@ def record_id(page_id: int | None) -> str:
 
 
 def _head(lines: list[tuple[str, object]]) -> bytes:
+    """Header lines; line breaks, which a header cannot hold, are escaped."""
     clean = lambda v: str(v).replace("\r", "%0D").replace("\n", "%0A")
     return "".join(f"{k}: {clean(v)}\r\n" for k, v in lines if v is not None).encode()
 
@@ -43,7 +45,7 @@ def write_record(sink, page_id: int | None, url: str | None, payload: memoryview
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\n" + _head([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))]) + b"\r\n"
     body = 0 if revisit else len(payload)
-    head = b"WARC/1.1\r\n" + _head([("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Profile", PROFILE if revisit else None), ("WARC-Refers-To", record_id(refers_to) if revisit else None), ("Page-ID", page_id), ("Refers-To-Page-ID", refers_to), ("Payload-Length", len(payload)), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(http) + body)]) + b"\r\n"
+    head = b"WARC/1.1\r\n" + _head([("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Target-URI", url), ("Target-URI-JSON", json.dumps(url) if url and ("\r" in url or "\n" in url) else None), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Profile", PROFILE if revisit else None), ("WARC-Refers-To", record_id(refers_to) if revisit else None), ("Page-ID", page_id), ("Refers-To-Page-ID", refers_to), ("Payload-Length", len(payload)), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(http) + body)]) + b"\r\n"
     squeeze, size = zlib.compressobj(level, zlib.DEFLATED, 31), 0
     for part in (head, http, *(payload[at : at + _PIECE] for at in range(0, body, _PIECE)), _END):
         if out := squeeze.compress(part):
@@ -107,7 +109,7 @@ def read_chunks(source, chunk: int = CHUNK) -> Iterator[tuple]:
         left = int(f["Content-Length"]) - len(http)
         digest, done, number = hashlib.sha256(), 0, 0
         page, refers = f.get("Page-ID"), f.get("Refers-To-Page-ID")
-        key = (f["WARC-Record-ID"], page and int(page), f["WARC-Type"], refers and int(refers), f.get("WARC-Target-URI"), f["WARC-Payload-Digest"].partition(":")[2], int(f["Payload-Length"]))
+        key = (f["WARC-Record-ID"], page and int(page), f["WARC-Type"], refers and int(refers), json.loads(f["Target-URI-JSON"]) if "Target-URI-JSON" in f else f.get("WARC-Target-URI"), f["WARC-Payload-Digest"].partition(":")[2], int(f["Payload-Length"]))
         while True:
             part = stream.take(min(chunk, left))
             if left and not part:
@@ -125,18 +127,19 @@ def read_chunks(source, chunk: int = CHUNK) -> Iterator[tuple]:
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Adds html_digest and refers_to: of equal payloads of at least `least` bytes all but those of the smallest page_id refer to it."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    large = F.octet_length("html") >= least
-    firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    joined = rows.join(firsts, "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(large & (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("large", F.octet_length("html") >= least)
+    # records without an earlier twin need no partner, and of a hot payload no more than its digest meets
+    firsts = rows.where("large").groupBy("large", "digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    joined = join_groups(rows, checkpoint(firsts), ["large", "digest"], pages.count(), "page_id", alone=~F.col("large"))
+    return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
     """Archives page_id, url, html (null: empty) under `path`/data, with a table of committed files in `path`/manifest.
 
     Repeated rows are records of their own; rows of the group's smallest page_id are all responses.
-    A null page_id or url is left out of the record's fields. Other columns are ignored.
+    A null page_id or url is left out of the record's fields. Other columns are ignored; an empty
+    table gives no archives. A payload is streamed, so only one row's text is held at a time.
     """
     data = make_dir(f"{path}/data")
 
@@ -192,12 +195,27 @@ def read_warc(spark: SparkSession, path: str, chunk: int = CHUNK, payload: bool
     return manifest.repartition(max(1, min(manifest.count(), 1 << 20))).mapInArrow(read, CHUNKS)
 
 
+def resolved(chunks: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of a chunked record table.
+
+    A response's bytes and digest are those of the payload read, and must be the stated ones; a revisit's
+    are those of the response it names, which must be there with them, else a ValueError tells.
+    """
+    ends = checkpoint(chunks.where("last").select("page_id", "record_type", "refers_to", "stated_digest", "stated_bytes", "bytes_so_far", "digest_so_far"))
+    own = F.col("record_type") == "response"
+    if not ends.where(own & ((F.col("stated_digest") != F.col("digest_so_far")) | (F.col("stated_bytes") != F.col("bytes_so_far")))).isEmpty():
+        raise ValueError("a response's payload is not what its header states")
+    named = ends.where(~own).select(F.col("refers_to").alias("page_id"), F.col("stated_digest").alias("digest"), F.col("stated_bytes").alias("bytes")).distinct()
+    there = ends.where(own).select("page_id", F.col("digest_so_far").alias("digest"), F.col("bytes_so_far").alias("bytes"))
+    if not named.join(there, ["page_id", "digest", "bytes"], "left_anti").isEmpty():
+        raise ValueError("a revisit names no response with its payload")
+    return ends.select("page_id", F.when(own, F.col("bytes_so_far")).otherwise(F.col("stated_bytes")).alias("payload_bytes"), F.when(own, F.col("digest_so_far")).otherwise(F.col("stated_digest")).alias("payload_digest"), "record_type", "refers_to")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_warc(load(spark, sf_dir, "pages"), path)
-    ends = read_warc(spark, path, payload=False).where("last")
-    revisit = F.col("record_type") == "revisit"
-    return ends.select("page_id", F.when(revisit, F.col("stated_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"), F.when(revisit, F.col("stated_digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"), "record_type", "refers_to")
+    return resolved(read_warc(spark, path, payload=False))
 
 
 OP5_SQL = """
