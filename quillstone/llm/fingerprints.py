@@ -1,8 +1,10 @@
 """Document fingerprints: bottom-k sketches of shingle hashes.
 
-A sketch is the k smallest distinct 64-bit hashes of a text's lower-cased five-word shingles, cut to
-48 bits, ascending, base64. Sketches of parts merge into the sketch of the whole; two sketches give
-resemblance and containment, one gives the number of distinct shingles.
+A sketch is the k smallest distinct 64-bit hashes of a text's lower-cased shingles, cut to 48 bits,
+ascending, base64. Shingles are runs of five words and, so that short texts and those written without
+spaces have some too, runs of eight characters inside words of over 24 bytes and of texts of fewer than five words.
+Sketches of parts merge into the sketch of the whole; two sketches give resemblance and containment,
+one gives the number of distinct shingles.
 """
 
 from __future__ import annotations
@@ -17,16 +19,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, pieces, shingle_sets, strings
+from .common import buffer_of, load, lower_ascii, mix, pieces, shingle_sets, slices, strings, word_spans
 
 K = 128
+#: Characters of a shingle inside a word, bytes beyond which a word has them, words below which a text has them.
+CHARS, LONG_WORD, FEW_WORDS = 8, 24, 5
+#: Partitions that rows are dealt to in order, at most; a partition is streamed, so its size does not bind memory.
+PARTS = 1 << 15
 BYTES = 6
 _SPAN = 1 << (8 * BYTES)
 
 
+def character_shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each run of CHARS characters inside long words and the words of texts of few words (shorter words: the whole word)."""
+    values, rows, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for _, part in slices(col, 1 << 20):
+        raw, offs = buffer_of(part)
+        raw = lower_ascii(raw)
+        starts, ends, first = word_spans(raw, offs)
+        count = np.diff(first)
+        row = np.repeat(np.arange(len(part)), count)
+        some = np.flatnonzero((ends - starts > LONG_WORD) | (count < FEW_WORDS)[row])
+        if len(some):
+            begins = np.flatnonzero((raw & 0xC0) != 0x80)  # the first byte of each character
+            code = np.add.reduceat(raw.astype(np.uint64) << (np.uint64(8) * (np.arange(len(raw)) - np.repeat(begins, np.diff(begins, append=len(raw)))).astype(np.uint64)), begins)
+            a, b = np.searchsorted(begins, starts[some]), np.searchsorted(begins, ends[some])
+            per = np.maximum(b - a - CHARS + 1, 1)
+            at = np.repeat(a - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+            end, value = np.repeat(b, per), np.full(int(per.sum()), CHARS, np.uint64)
+            for k in range(CHARS):
+                inside = at + k < end
+                value[inside] = mix(value[inside] * np.uint64(0xD1342543DE82EF95) + code[at[inside] + k])
+            values.append(value)
+            rows.append(np.repeat(row[some], per) + base)
+        base += len(part)
+    return np.concatenate(values), np.concatenate(rows)
+
+
 def sketches(col: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """The bottom-k values of each text, ascending, and row offsets. Null, empty and blank texts have none."""
-    values, offs = shingle_sets(strings(col))
+    texts = strings(col)
+    values, offs = shingle_sets(texts)
+    more, of = character_shingles(texts)
+    if len(more):  # some rows have shingles of characters beside those of words
+        row = np.concatenate([np.repeat(np.arange(len(texts)), np.diff(offs)), of])
+        values = np.concatenate([values, more])
+        order = np.lexsort((values, row))
+        row, values = row[order], values[order]
+        keep = np.ones(len(row), bool)
+        keep[1:] = (row[1:] != row[:-1]) | (values[1:] != values[:-1])
+        values, offs = values[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(texts)))])
     size = np.minimum(np.diff(offs), k)
     keep = np.arange(len(values)) - np.repeat(offs[:-1], np.diff(offs)) < k
     return (values[keep] >> np.uint64(64 - 8 * BYTES)), np.concatenate([[0], np.cumsum(size)])
@@ -127,11 +169,14 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows in ascending id order over partitions, each followed by the first row of the next partition (ahead = 1); the last by the very first."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = pieces(docs, 4 << 20)
-    # bounds are ids of rows, so the row at a bound is the first of its partition
-    got = rows.agg(F.percentile_approx("key", F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5)), 20 * parts).alias("b"), F.min("key").alias("first")).first()
-    first = got["first"]
-    bounds = np.array(sorted({b for b in got["b"] or [] if b > first}), np.int64)
+    # bounds are ids of rows, so the row at a bound is the first of its partition: every so-and-so-many-th
+    # of a sample by hash of the ids, which has about 16 for each of at most PARTS partitions
+    parts = min(PARTS, pieces(docs, 4 << 20))
+    told = rows.agg(F.count("*").alias("n"), F.min("key").alias("first")).first()
+    every, first = max(1, told["n"] // (16 * parts)), told["first"]
+    held = rows.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").distinct().toArrow()["key"].to_numpy()
+    some = np.sort(held)[:: max(1, len(held) // parts)] if len(held) else np.zeros(0, np.int64)
+    bounds = some[some > first].astype(np.int64) if len(some) else some.astype(np.int64)
     last = len(bounds)
 
     @F.pandas_udf("array<int>")
@@ -150,6 +195,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 
     The order is doc_id, then text, null ids first; the last row's next is the first. Null texts count
     as empty. Two texts without shingles are alike (1.0), one without and one with are not (0.0).
+    Repeated rows and ids are rows of their own, an empty table gives none, other columns are ignored.
+    A task streams its rows and holds some thousand texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
