@@ -5,34 +5,41 @@ Two views judge a document: its text (hashed words and statistics of its charact
 regression. Over rounds each view labels the unlabelled documents it is surest of for the other one.
 The views' scores are then calibrated on held-out labels and combined.
 
-Fitting uses a bounded sample of labelled rows (`labelled`) and of other documents (`pool`); scoring
-covers every row and needs no shuffle.
+The first fit uses a bounded sample of labelled rows (`labelled`), which also chooses the words that
+count. Then all other documents, however many, are reduced once to a row of some hundred bytes each (which of those
+words they hold, statistics, metadata), and each round is a pass over that table: the rows that one
+view is sure of add to the other view's sums of gradients and second derivatives, which are summed in
+a tree and make its next Newton step. The driver holds the labelled rows' features and these sums.
+Scoring covers every row and needs no shuffle.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffer_of, load, lower_ascii, mix, slices, strings, word_hashes, word_spans
+from .common import buffer_of, checkpoint, load, lower_ascii, mix, slices, strings, word_hashes, word_spans
 
-#: Bounds of the fit, buckets of the word hash and of metadata, words a model uses, rounds, surety.
+#: Bound of the labelled rows, buckets of the word hash and of metadata, words a model uses, rounds, surety,
+#: what a class's pseudo-labelled rows weigh together against its labelled ones, sums added in one step of the tree.
 LABELLED = 12_000
-POOL = 4_000
 BUCKETS = 1 << 21
 #: Besides whole words, their first bytes.
 PREFIXES = (4, 6)
 META = 256
 WORDS = 192
 ROUNDS = 3
-PENALTY = 1.0
+PENALTY, META_PENALTY = 1.0, 5.0
 SURE = 0.98
+TRUST = 0.5
+FAN_IN = 16
 HELD_OUT = 0.25
 QUESTIONS = ("low_quality", "toxic")
 _KINDS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\n\x0b\x0c", b".,;:?", b"!", b"|", b"#$%&*@^~=+<>", b"'\"()-")
@@ -127,6 +134,13 @@ class Question:
     meta_fit: tuple = (1.0, 0.0)
     combine: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))
 
+    @property
+    def text_weights(self) -> np.ndarray:
+        return np.concatenate([self.word_weights, self.text])
+
+    def set_text(self, w: np.ndarray) -> None:
+        self.word_weights, self.text = w[: len(self.words)], w[len(self.words) :]
+
     def text_score(self, flat: np.ndarray, offs: np.ndarray, stats: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.words, flat)
         known = self.words[np.minimum(at, len(self.words) - 1)] == flat if len(self.words) else np.zeros(len(flat), bool)
@@ -147,43 +161,69 @@ class Question:
         return _sigmoid(a), _sigmoid(b), _sigmoid(both)
 
 
-class _Data:
-    def __init__(self, flat, offs, stats, meta) -> None:
-        self.flat, self.offs, self.stats, self.meta = flat, offs, stats, meta
+class Rows:
+    """Reduced documents: which words of the vocabulary each holds (ragged), statistics and metadata buckets."""
+
+    def __init__(self, words: np.ndarray, offs: np.ndarray, stats: np.ndarray, meta: np.ndarray) -> None:
+        self.words, self.offs, self.stats, self.meta = words, offs, stats, meta
         self.n = len(offs) - 1
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(offs))
-
-
-def _text_model(q: Question, d: _Data, rows: np.ndarray, y: np.ndarray, most: int = WORDS) -> None:
-    """Words that lean significantly to one side, and the statistics."""
-    label = np.full(d.n, -1, np.int8)
-    label[rows] = y
-    of = label[d.row]
-    pos = np.bincount(d.flat[of == 1], minlength=BUCKETS)
-    neg = np.bincount(d.flat[of == 0], minlength=BUCKETS)
-    del of
-    seen = np.flatnonzero(pos + neg >= 3)
-    pos, neg = pos[seen].astype(float), neg[seen].astype(float)
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    p = (pos + neg) / (n1 + n0)
-    z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    some = np.argsort(-np.abs(z), kind="stable")[:most]
-    q.words = np.sort(seen[some[np.abs(z[some]) > 6]])
-    used = np.zeros(BUCKETS, bool)
-    used[q.words] = True
-    known = np.flatnonzero(used[d.flat])
-    x = np.zeros((d.n, len(q.words)))
-    x[d.row[known], np.searchsorted(q.words, d.flat[known])] = 1
-    q.mean, q.scale = d.stats[rows].mean(0), d.stats[rows].std(0) + 1e-3
-    s = (d.stats - q.mean) / q.scale
-    w = fit_logistic(np.column_stack([x, s])[rows], y, PENALTY)
-    q.word_weights, q.text = w[: len(q.words)], w[len(q.words) :]
-
-
-def _meta_model(q: Question, d: _Data, rows: np.ndarray, y: np.ndarray) -> None:
-    x = np.zeros((len(rows), META))
-    np.add.at(x, (np.repeat(np.arange(len(rows)), 4), d.meta[rows].ravel()), 1)
-    q.meta = fit_logistic(x, y, 5.0)
+
+    @classmethod
+    def packed(cls, words: pa.Array, stats: pa.Array, meta: pa.Array) -> Rows:
+        parts = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in words]
+        whole = lambda col, kind, width: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in col)]).reshape(-1, width)
+        return cls(np.concatenate([np.zeros(0, np.int64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64), whole(stats, "<f8", N_STATS), whole(meta, "<i8", 4))
+
+    def text(self, q: Question, vocabulary: np.ndarray) -> np.ndarray:
+        """The text view's design matrix for a question."""
+        column = np.full(len(vocabulary) + 1, -1)
+        column[np.searchsorted(vocabulary, q.words)] = np.arange(len(q.words))
+        out = np.zeros((self.n, len(q.words) + N_STATS + 1))
+        at, row = column[self.words], np.repeat(np.arange(self.n), np.diff(self.offs))
+        out[row[at >= 0], at[at >= 0]] = 1
+        out[:, len(q.words) : -1] = (self.stats - q.mean) / q.scale
+        out[:, -1] = 1
+        return out
+
+    def metadata(self) -> np.ndarray:
+        out = np.zeros((self.n, META + 1))
+        np.add.at(out, (np.repeat(np.arange(self.n), 4), self.meta.ravel()), 1)
+        out[:, -1] = 1
+        return out
+
+
+def _sums(x: np.ndarray, w: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and second derivatives of the logistic likelihood at w."""
+    p = _sigmoid(x @ w)
+    return x.T @ (y - p), (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+
+
+def _step(w: np.ndarray, g: np.ndarray, h: np.ndarray, penalty: float) -> np.ndarray:
+    ridge = np.full(len(w), penalty)
+    ridge[-1] = 1e-6
+    return w + np.linalg.solve(h + np.diag(ridge), g - ridge * w)
+
+
+def _loss(score: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(_sigmoid(score), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
+def sure_sums(models: dict[str, Question], vocabulary: np.ndarray, rows: Rows, sure: float = SURE) -> np.ndarray:
+    """For each question, view and label: number, gradient and second derivatives of the rows that the other view is sure of, as one vector."""
+    out, meta = [], rows.metadata()
+    for q in models.values():
+        if not q.fitted:
+            continue
+        text = rows.text(q, vocabulary)
+        views = ((text, q.text_weights, q.text_fit), (meta, q.meta, q.meta_fit))
+        for (x, w, _), (other, v, fit) in zip(views, views[::-1], strict=True):
+            p = _sigmoid(fit[0] * (other @ v) + fit[1])
+            for label in (0, 1):
+                some = np.flatnonzero((p if label else 1 - p) >= sure)
+                g, h = _sums(x[some], w, np.full(len(some), float(label)))
+                out += [[len(some)], g, h.ravel()]
+    return np.concatenate([np.zeros(0), *out])
 
 
 def _calibrated(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -191,45 +231,67 @@ def _calibrated(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def cotrain(d: _Data, y: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Question:
-    """y is 1, 0 or -1 (unlabelled) of each row. Every fourth labelled row is held out for calibration."""
-    q = Question()
-    known = np.flatnonzero(y >= 0)
-    if not len(known) or len(set(y[known].tolist())) < 2 or min((y[known] == 1).sum(), (y[known] == 0).sum()) < 4:
-        share = np.clip(y[known].mean() if len(known) else 0.01, 0.01, 0.49)
-        q.prior = float(np.log(share / (1 - share)))
-        return q
-    every = round(1 / HELD_OUT)
-    out = np.zeros(d.n, bool)
-    for c in (0, 1):
-        out[np.flatnonzero(y == c)[::every]] = True
-    train, held, free = np.flatnonzero((y >= 0) & ~out), np.flatnonzero(out), np.flatnonzero(y < 0)
-    for_text, for_meta = (train, y[train]), (train, y[train])
-    q.fitted = True
-    view = lambda: (q.text_score(d.flat, d.offs, d.stats), q.meta_score(d.meta))
-    for k in range(rounds + 1):
-        _text_model(q, d, *for_text)
-        _meta_model(q, d, *for_meta)
-        a, b = view()
-        q.text_fit, q.meta_fit = _calibrated(a[held], y[held]), _calibrated(b[held], y[held])
-        if k == rounds or not len(free):
+def cotrain(rows: Rows, vocabulary: np.ndarray, models: dict[str, Question], final: dict[str, np.ndarray], answers: dict[str, np.ndarray], held: np.ndarray, others: Callable[[dict[str, Question]], np.ndarray | None], rounds: int = ROUNDS) -> dict[str, Question]:
+    """Fits the models (whose words are chosen) on labelled rows; `others` gives sure_sums() of all unlabelled documents.
+
+    final has the words that all rows choose, held-out ones included; answers has 1 or 0 for each row and question. Held-out rows calibrate. A view's step is taken only if its
+    held-out loss does not rise by over a twentieth.
+    """
+    live = {name: q for name, q in models.items() if q.fitted}
+    text, meta = {name: rows.text(q, vocabulary) for name, q in live.items()}, rows.metadata()
+    for name, q in live.items():
+        y = answers[name]
+        q.set_text(fit_logistic(text[name][~held, :-1], y[~held], PENALTY))
+        q.meta = fit_logistic(meta[~held, :-1], y[~held], META_PENALTY)
+        q.text_fit, q.meta_fit = _calibrated(text[name][held] @ q.text_weights, y[held]), _calibrated(meta[held] @ q.meta, y[held])
+
+    def steps(q: Question, name: str, sums: np.ndarray | None, at: int, use: np.ndarray) -> tuple[list, int]:
+        """The next weights of both views from labelled rows and the sums of the sure ones."""
+        out, y = [], answers[name]
+        for x, w, penalty in ((text[name], q.text_weights, PENALTY), (meta, q.meta, META_PENALTY)):
+            g, h = _sums(x[use], w, y[use])
+            for label in (0, 1) if sums is not None else ():
+                n, d = sums[at], len(w)
+                weight = min(1.0, TRUST * (y[use] == label).sum() / max(1.0, n))
+                g, h = g + weight * sums[at + 1 : at + 1 + d], h + weight * sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
+                at += 1 + d + d * d
+            out.append(_step(w, g, h, penalty))
+        return out, at
+
+    for _ in range(rounds if live else 0):
+        sums = others(models)
+        if sums is None:
             break
-        got = []
-        for score, fit in ((a, q.text_fit), (b, q.meta_fit)):  # each view's surest rows go to the other one
-            p = _sigmoid(fit[0] * score[free] + fit[1])
-            surest = np.argsort(-np.abs(p - 0.5), kind="stable")[: len(free) * (k + 1) // rounds]
-            pick = free[surest[np.maximum(p, 1 - p)[surest] >= sure]]
-            got.append((pick, (_sigmoid(fit[0] * score[pick] + fit[1]) > 0.5).astype(y.dtype)))
-        for_meta = (np.concatenate([train, got[0][0]]), np.concatenate([y[train], got[0][1]]))
-        for_text = (np.concatenate([train, got[1][0]]), np.concatenate([y[train], got[1][1]]))
-    a, b = (f[0] * s[held] + f[1] for f, s in zip((q.text_fit, q.meta_fit), view(), strict=True))
-    w = fit_logistic(np.clip(np.column_stack([a, b]), -12, 12), y[held], 0.3)
-    q.combine = np.array([max(w[0], 0.1), max(w[1], 0.0), w[2]])
-    # the calibration stands; the views see the held-out rows too
-    more = lambda rows, labels: (np.concatenate([rows, held]), np.concatenate([labels, y[held]]))
-    _text_model(q, d, *more(*for_text))
-    _meta_model(q, d, *more(*for_meta))
-    return q
+        at = 0
+        for name, q in live.items():
+            y = answers[name][held]
+            (words, more), at = steps(q, name, sums, at, ~held)
+            for x, new, view in ((text[name][held], words, "text"), (meta[held], more, "meta")):
+                old, fit = (q.text_weights, q.text_fit) if view == "text" else (q.meta, q.meta_fit)
+                own = _calibrated(x @ new, y)
+                if _loss(own[0] * (x @ new) + own[1], y) <= 1.05 * _loss(fit[0] * (x @ old) + fit[1], y):
+                    q.set_text(new) if view == "text" else setattr(q, "meta", new)
+                    setattr(q, f"{view}_fit", own)
+    for name, q in live.items():
+        y = answers[name][held]
+        a, b = (f[0] * (x @ w) + f[1] for x, w, f in ((text[name][held], q.text_weights, q.text_fit), (meta[held], q.meta, q.meta_fit)))
+        both = np.clip(np.column_stack([a, b]), -12, 12)
+        w = fit_logistic(both, y, 0.3)
+        if w[1] < 0:  # metadata that misleads does not count
+            w = np.insert(fit_logistic(both[:, :1], y, 0.3), 1, 0.0)
+        q.combine = np.array([max(w[0], 0.1), w[1], w[2]])
+    # the calibration stands; the views, with the words that all labelled rows choose, see the held-out rows too
+    for name, q in live.items():
+        q.words = final[name]
+        text[name] = rows.text(q, vocabulary)
+        q.set_text(fit_logistic(text[name][:, :-1], answers[name], PENALTY))
+        q.meta = fit_logistic(meta[:, :-1], answers[name], META_PENALTY)
+    sums, at = others(models) if live and rounds else None, 0
+    for name, q in live.items() if sums is not None else ():
+        (words, more), at = steps(q, name, sums, at, np.ones(rows.n, bool))
+        q.set_text(words)
+        q.meta = more
+    return models
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -243,18 +305,13 @@ def _features(batch: pa.RecordBatch, at: int) -> tuple:
     return *text_features(strings(batch.column(at))), meta_features(*(batch.column(i).to_pylist() for i in range(at + 1, at + 4)))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict[str, Question]:
-    """A model for each question. labels has doc_id, quality (1 good) and toxic (1 toxic); of repeated ids the worse label counts.
-
-    Fits on the `labelled` label rows and the `pool` documents of the smallest hash of their ids.
-    Without labels of both kinds a question's answer is its prior, under one half.
-    """
+def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Features of the labelled rows of the smallest hashes of their ids (one row an id), and their ids; `most` at most."""
     sample = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 0).cast("int")).alias("low_quality"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = _columns(docs).where("doc_id IS NOT NULL")
-    others = rows.select("doc_id").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(pool).distinct()
-    ids = others.join(sample, "doc_id", "full_outer").select(F.col("doc_id").alias("id"), *QUESTIONS)
-    chosen = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # labelled + pool rows at most
+    sample = checkpoint(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    chosen = _columns(docs).join(F.broadcast(sample), "doc_id")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "lang", "source"))
+    chosen = chosen.withColumn("__nth", one).where("__nth = 1").drop("__nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,13 +322,126 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
                 place = mix(some.column(0).to_numpy().astype(np.uint64)).view(np.int64)
                 yield pa.record_batch({"place": place, "tie": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "y0": some.column(5), "y1": some.column(6), "flat": pa.array(raw, pa.binary()), "stats": pa.array([s.tobytes() for s in stats], pa.binary()), "meta": pa.array([m.tobytes() for m in meta], pa.binary())})
 
-    got = chosen.select("doc_id", "text", "lang", "source", "n_chars", *QUESTIONS).mapInArrow(run, "place long, tie long, y0 int, y1 int, flat binary, stats binary, meta binary").toArrow()
-    got = got.sort_by([("place", "ascending"), ("tie", "ascending")])
-    flat = [np.frombuffer(x.as_buffer(), np.int32) for x in got["flat"]]
-    d = _Data(np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int64), np.array([np.frombuffer(x.as_buffer()) for x in got["stats"]]).reshape(-1, N_STATS), np.array([np.frombuffer(x.as_buffer(), np.int64) for x in got["meta"]], np.int64).reshape(-1, 4))
-    known = {name: got[y].fill_null(-1).to_numpy().astype(np.int64) for name, y in zip(QUESTIONS, ("y0", "y1"), strict=True)}
-    del got, flat
-    return {name: cotrain(d, y, rounds) for name, y in known.items()}
+    seen = chosen.select("doc_id", "text", "lang", "source", "n_chars", *QUESTIONS).mapInArrow(run, "place long, tie long, y0 int, y1 int, flat binary, stats binary, meta binary")
+    return checkpoint(seen.withColumn("held", F.pmod("place", F.lit(round(1 / HELD_OUT))) == 0)), sample
+
+
+def _chosen_words(seen: DataFrame, most: int = WORDS) -> dict[str, np.ndarray]:
+    """For each question the word buckets that lean most significantly to one side over these labelled rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, BUCKETS), np.int32)
+        for batch in batches:
+            for raw, *y in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = np.frombuffer(raw.as_buffer(), np.int32)
+                for i, label in enumerate(y):
+                    total[2 * i + label, words] += 1
+        some = np.flatnonzero(total.any(0))
+        yield pa.record_batch({"word": pa.array(some, pa.int64()), **{f"n{i}": pa.array(total[i, some], pa.int64()) for i in range(4)}})
+
+    fit = seen.select("flat", "y0", "y1")
+    size = fit.agg(*[F.coalesce(F.sum((F.col(f"y{i // 2}") == i % 2).cast("long")), F.lit(0)).alias(f"n{i}") for i in range(4)]).first()
+    table = checkpoint(fit.mapInArrow(count, "word long, n0 long, n1 long, n2 long, n3 long").groupBy("word").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(4)]))
+    out = {}
+    for i, name in enumerate(QUESTIONS):
+        no, yes = F.col(f"n{2 * i}"), F.col(f"n{2 * i + 1}")
+        all_no, all_yes = max(1, size[2 * i]), max(1, size[2 * i + 1])
+        p = (no + yes) / (all_no + all_yes)
+        z = (yes / all_yes - no / all_no) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / all_yes + 1 / all_no))
+        best = table.where(no + yes >= 3).select("word", F.abs(z).alias("z")).where("z > 6").orderBy(F.desc("z"), "word").limit(most).collect()
+        out[name] = np.array(sorted(r["word"] for r in best), np.int64)
+    return out
+
+
+def _reduced(flat: np.ndarray, offs: np.ndarray, stats: np.ndarray, meta: np.ndarray, vocabulary: np.ndarray) -> dict:
+    at = np.searchsorted(vocabulary, flat)
+    known = vocabulary[np.minimum(at, len(vocabulary) - 1)] == flat if len(vocabulary) else np.zeros(len(flat), bool)
+    words, ends = at[known].astype("<u2"), np.concatenate([[0], np.cumsum(known)])[offs]
+    return {"words": pa.array([words[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()), "stats": pa.array([x.tobytes() for x in stats.astype("<f8")], pa.binary()), "meta": pa.array([x.tobytes() for x in meta.astype("<i8")], pa.binary())}
+
+
+def unlabelled(docs: DataFrame, sample: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """words, stats, meta (packed) of every row whose id has no label in the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                yield pa.record_batch(_reduced(*_features(batch.slice(at, 512), 0), vocabulary))
+
+    rest = _columns(docs).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")  # `labelled` ids at most
+    return checkpoint(rest.select("text", "lang", "source", "n_chars").mapInArrow(run, "words binary, stats binary, meta binary"))
+
+
+def tree_sum(parts: DataFrame, fan_in: int = FAN_IN) -> np.ndarray | None:
+    """The sum of packed vectors (part, v), `fan_in` at a time, in the order of their parts."""
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        total = 0
+        for x in table["v"]:
+            total = total + np.frombuffer(x.as_buffer(), "<f8")
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([total.tobytes()], pa.binary())})
+
+    count = (parts.agg(F.max("part").alias("m")).first()["m"] or 0) + 1
+    while count > 1:
+        parts, count = checkpoint(parts.groupBy(F.floor(F.col("part") / fan_in).alias("to")).applyInArrow(add, "part long, v binary")), -(-count // fan_in)
+    row = parts.first()
+    return np.frombuffer(row["v"], "<f8") if row else None
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict[str, Question]:
+    """A model for each question. labels has doc_id, quality (1 good) and toxic (1 toxic); of repeated ids the worse label counts.
+
+    Fits on at most `labelled` label rows, those of the smallest hash of their ids, and on all other documents by pseudo-labels;
+    of documents that share a labelled id one is fitted on. Without labels of both kinds (four of each, one of them held out) a
+    question's answer is its prior, under one half.
+    """
+    seen, sample = _labelled(docs, labels, labelled)
+    words, final = _chosen_words(seen.where("NOT held")), _chosen_words(seen)
+    vocabulary = np.unique(np.concatenate([*words.values(), *final.values()])).astype(np.int64)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [np.frombuffer(x.as_buffer(), np.int32) for x in batch["flat"]]
+            offs = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int64)
+            stats = np.array([np.frombuffer(x.as_buffer()) for x in batch["stats"]]).reshape(-1, N_STATS)
+            meta = np.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch["meta"]], np.int64).reshape(-1, 4)
+            some = _reduced(np.concatenate([np.zeros(0, np.int32), *flat]), offs, stats, meta, vocabulary)
+            yield pa.record_batch({c: batch[c] for c in ("place", "tie", "y0", "y1", "held")} | some)
+
+    got = seen.mapInArrow(reduce, "place long, tie long, y0 int, y1 int, held boolean, words binary, stats binary, meta binary").toArrow()
+    got = got.sort_by([("place", "ascending"), ("tie", "ascending")])  # some hundred bytes for each of `labelled` rows
+    rows = Rows.packed(got["words"], got["stats"], got["meta"])
+    held = got["held"].to_numpy()
+    answers = {name: got[y].to_numpy().astype(np.int64) for name, y in zip(QUESTIONS, ("y0", "y1"), strict=True)}
+    models = {}
+    for name, y in answers.items():
+        q = models[name] = Question(words=words[name])
+        if rows.n and min(np.bincount(y, minlength=2).tolist()) >= 4 and len(np.unique(y[held])) == 2 == len(np.unique(y[~held])):
+            q.fitted = True
+            q.mean, q.scale = rows.stats[~held].mean(0), rows.stats[~held].std(0) + 1e-3
+        else:
+            share = np.clip(y.mean() if rows.n else 0.01, 0.01, 0.49)
+            q.prior = float(np.log(share / (1 - share)))
+    if not any(q.fitted for q in models.values()):
+        return models
+    table = unlabelled(docs, sample, vocabulary)
+
+    def others(now: dict[str, Question]) -> np.ndarray | None:
+        shared = docs.sparkSession.sparkContext.broadcast(now)  # some hundred weights each
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    some = batch.slice(at, 4096)
+                    total = total + sure_sums(shared.value, vocabulary, Rows.packed(*some.columns))
+            if not isinstance(total, int):
+                yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "v": pa.array([total.tobytes()], pa.binary())})
+
+        return tree_sum(checkpoint(table.mapInArrow(run, "part long, v binary")))
+
+    return cotrain(rows, vocabulary, models, final, answers, held, others, rounds)
 
 
 def score(docs: DataFrame, models: dict[str, Question], carry: bool = False) -> DataFrame:
