@@ -22,6 +22,13 @@ def shingles(text, n=5):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
+def fingerprint_shingles(text):
+    """The word shingles, and those of eight characters of long words and of texts of few words."""
+    w = words(lower(text))
+    some = [x for x in w if len(x.encode()) > 24 or len(w) < 5]
+    return shingles(text) | {x[i : i + 8] for x in some for i in range(max(1, len(x) - 7))}
+
+
 @cache
 def tokenizer():
     import public_tokenizers

@@ -210,6 +210,37 @@ def test_vafile_with_ties_and_bad_vectors(spark):
     assert vafile.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def top_k(rows, k=5):
+    """Brute force over (vec_id, vector) rows with whole finite vectors."""
+    held = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows]
+    out = []
+    for i in {i for i, _ in held if i % 50 == 0}:
+        asked = [q for j, q in held if j == i]
+        found = []
+        for q in {tuple(x) for x in asked}:
+            found += sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in held if j != i and len(v) == len(q))[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(found)[:k])]
+    return sorted(out)
+
+
+def test_vafile_with_copies_zeros_and_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6)]) for i in range(1, 140)]
+    rows += [(50, [0.0] * 6), (100, [9.0] * 6), (150, [300000.0, 1.0, 0, 0, 0, -1.0]), (200, [400000.0, 0, 0, 0, 0, 0.5])]
+    rows += [(i, [9.0] * 6) for i in range(1000, 1400)] + [(1000, [9.0] * 6)] * 3 + [(250, [1.0])] + [(7, [2.0, 0, 0, 0, 0, 0])]
+    rows = [(i, [float(x) for x in v]) for i, v in rows if i not in (50, 100) or v in ([0.0] * 6, [9.0] * 6)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, q string, dim int").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vafile.search(df, F.col("vec_id") % 50 == 0, block=32, queries=2).collect())
+    assert got == top_k(rows)
+    assert vafile.search(spark.createDataFrame([(0, []), (1, []), (50, [])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 2
+
+
+def test_vafile_scores_beyond_a_long(spark):
+    rows = [(0, [1e15, 1.0]), (1, [1e15, 0.0]), (2, [2e15, 0.0]), (3, [-1e15, 0.0]), (4, [1 / 256, 0.0])]
+    got = [(r["vec_id"], r["score"]) for r in vafile.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [2, 1, 4, 3] and got[0][1] == (1 << 63) - 1 and got[2][1] == 256 * 10**15
+
+
 def test_warc_streams_large_payloads(spark, tmp_path):
     big = "é" * 3_000_000
     pages = [(1, "http://a/\r\nX: y", "p" * 200), (2, None, None), (3, "u", "small"), (4, "u", "small"), (9, "u", "p" * 200), (7, "u", big), (8, "u", big), (None, "u", "p" * 200), (1, "u", "p" * 200)]
@@ -227,10 +258,40 @@ def test_warc_streams_large_payloads(spark, tmp_path):
         joined += part
         assert hashlib.sha256(joined).hexdigest() == digest
     assert joined.decode() == big
+    assert {r["page_id"]: r["url"] for r in ends if r["page_id"] in (1, 2)} in ({1: "http://a/\r\nX: y", 2: None}, {1: "u", 2: None})
+    assert sorted(r["url"] for r in ends if r["page_id"] == 1) == ["http://a/\r\nX: y", "u"]
     warc.write_warc(df.limit(0), f"file://{tmp_path}/none")
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_of_hot_pages_and_clashing_columns(spark, tmp_path):
+    same, other = "s" * 300, "t" * 120
+    rows = [(i, "u", same if i % 3 else None, "d", 5) for i in range(600)] + [(600 + i, "u", other, "d", 5) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, n int").repartition(5)
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(df, path)
+    got = {r["page_id"]: r for r in warc.resolved(warc.read_warc(spark, path, payload=False)).collect()}
+    assert len(got) == 604
+    for i, _, html, _, _ in rows:
+        raw = (html or "").encode()
+        first = 1 if html == same else 600
+        refers = first if len(raw) >= 100 and i != first else None
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"], got[i]["refers_to"]) == (len(raw), hashlib.sha256(raw).hexdigest(), refers)
+        assert got[i]["record_type"] == ("response" if refers is None else "revisit")
+
+
+def test_warc_revisit_of_other_bytes_is_refused(spark, tmp_path):
+    import io
+
+    sink = io.BytesIO()
+    warc.write_record(sink, 1, "u", memoryview(b"x" * 200), hashlib.sha256(b"x" * 200).hexdigest(), None, "d")
+    warc.write_record(sink, 2, "u", memoryview(b"y" * 200), hashlib.sha256(b"y" * 200).hexdigest(), 1, "d")
+    sink.seek(0)
+    rows = [r[:9] + (None,) + r[10:] for r in warc.read_chunks(sink)]
+    with pytest.raises(ValueError, match="revisit"):
+        warc.resolved(spark.createDataFrame(rows, warc.CHUNKS))
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = load(spark, sf, "documents"), load(spark, sf, "labels").persist()
@@ -241,6 +302,62 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([r["keep"] for r in got if r["quality"] == 1 and r["toxic"] == 0]) > 0.95
 
 
+def test_quality_against_a_fit_in_one_place(spark):
+    """The same rules over all rows at once, without Spark."""
+    docs, labels = load(spark, "/root/testdata/sf0.01", "documents"), load(spark, "/root/testdata/sf0.01", "labels")
+    got = {r["doc_id"]: r for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    all_ = docs.collect()
+    told = {r["doc_id"]: (int(r["quality"] == 0), int(r["toxic"] == 1)) for r in labels.collect()}
+    place = dict(zip((r["doc_id"] for r in all_), quality.mix(np.array([r["doc_id"] for r in all_], np.uint64)).view(np.int64).tolist(), strict=True))
+    known, others = sorted((r for r in all_ if r["doc_id"] in told), key=lambda r: place[r["doc_id"]]), [r for r in all_ if r["doc_id"] not in told]
+    held = np.array([place[r["doc_id"]] % 4 == 0 for r in known])
+    features = lambda rows: (*quality.text_features(pa.array([r["text"] for r in rows])), quality.meta_features(*([r[c] for r in rows] for c in ("lang", "source", "n_chars"))))
+    mine = features(known)
+    sets = [set(mine[0][a:b].tolist()) for a, b in zip(mine[1][:-1], mine[1][1:], strict=True)]
+    answers = {name: np.array([told[r["doc_id"]][i] for r in known]) for i, name in enumerate(quality.QUESTIONS)}
+
+    def leaning(y, use):
+        yes, no = ([sets[i] for i in np.flatnonzero((y == c) & use)] for c in (1, 0))
+        lean = []
+        for w in set().union(*yes, *no):
+            a, b = sum(w in x for x in yes), sum(w in x for x in no)
+            p = (a + b) / (len(yes) + len(no))
+            z = abs(a / len(yes) - b / len(no)) / max(p * (1 - p), 1e-9) ** 0.5 / (1 / len(yes) + 1 / len(no)) ** 0.5
+            lean += [(-z, w)] if a + b >= 3 and z > 6 else []
+        return np.array(sorted(w for _, w in sorted(lean)[: quality.WORDS]), np.int64)
+
+    models = {name: quality.Question(words=leaning(y, ~held), fitted=True, mean=mine[2][~held].mean(0), scale=mine[2][~held].std(0) + 1e-3) for name, y in answers.items()}
+    final = {name: leaning(y, held | True) for name, y in answers.items()}
+    vocabulary = np.unique(np.concatenate([*(q.words for q in models.values()), *final.values()]))
+
+    def reduced(f):
+        rows = [[int(np.searchsorted(vocabulary, x)) for x in f[0][a:b] if x in vocabulary] for a, b in zip(f[1][:-1], f[1][1:], strict=True)]
+        return quality.Rows(np.array([x for r in rows for x in r], np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), f[2], f[3])
+
+    rest = reduced(features(others))
+    models = quality.cotrain(reduced(mine), vocabulary, models, final, answers, held, lambda now: quality.sure_sums(now, vocabulary, rest))
+    for name, q in models.items():
+        p = q.probability(*features(all_))[2]
+        assert max(abs(got[r["doc_id"]][f"p_{name}"] - x) for r, x in zip(all_, p.tolist(), strict=True)) < 1e-6
+
+
+def test_quality_of_repeated_labels_and_clashing_columns(spark):
+    docs, labels = load(spark, "/root/testdata/sf0.01", "documents"), load(spark, "/root/testdata/sf0.01", "labels")
+    more = [F.lit(1).alias(c) for c in ("quality", "toxic", "held", "place", "words", "p_toxic", "row")]
+    twice = quality.train(docs.select("*", *more), labels.unionByName(labels))
+    once = quality.train(docs, labels)
+    for name, q in once.items():
+        assert np.allclose(q.combine, twice[name].combine) and q.words.tolist() == twice[name].words.tolist()
+    got = quality.score(docs.select("*", *more), twice, carry=True)
+    assert got.count() == docs.count() and got.select("row.*").columns == docs.select("*", *more).columns
+
+
+def test_tree_sum(spark):
+    rows = [(i, np.array([i, 1.0]).tobytes()) for i in range(300)]
+    assert quality.tree_sum(spark.createDataFrame(rows, "part long, v binary"), 4).tolist() == [sum(range(300)), 300]
+    assert quality.tree_sum(spark.createDataFrame([], "part long, v binary")) is None
+
+
 def test_quality_without_labels_or_rows(spark, odd):
     _, df = odd
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -261,11 +378,27 @@ def test_fingerprints(spark, odd):
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         for near, other in ((r["near_edited"], edited), (r["near_next"], nxt)):
-            a, b = brute.shingles(text), brute.shingles(other)
+            a, b = brute.fingerprint_shingles(text), brute.fingerprint_shingles(other)
             assert abs(near - (len(a & b) / len(a | b) if a | b else 1.0)) < (0.25 if len(a | b) > 64 else 1e-9)
     assert got[7]["fingerprint"] == got[8]["fingerprint"]
 
 
+def test_fingerprints_of_texts_without_spaces_and_of_few_words(spark):
+    rng = random.Random(2)
+    cjk = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(2000)) for _ in range(2)]
+    rows = [(1, cjk[0], "s"), (2, cjk[1], "s"), (3, "four short words here", "s"), (None, "é" * 30, "s"), (4, "", "s"), (4, "", "s")]
+    got = {r["doc_id"]: r for r in FP.edited_fingerprints(table(spark, rows)).collect()}
+    assert 0.4 < got[1]["near_edited"] < 0.8 and got[1]["near_next"] < 0.05
+    assert FP.edited_fingerprints(table(spark, rows).limit(0)).count() == 0
+    for a, b in ((cjk[0], cjk[0][:1500] + cjk[1][:500]), ("four short words here", "four short words"), ("é" * 30, "é" * 29), ("x", "X")):
+        one, two = brute.fingerprint_shingles(a), brute.fingerprint_shingles(b)
+        both = FP.sketches(pa.array([a, b]), 10**6)
+        assert np.diff(both[1]).tolist() == [len(one), len(two)]
+        cut = both[1][1]
+        near = FP.likeness((both[0][:cut], both[1][:2]), (both[0][cut:], both[1][1:] - cut), 10**6)[0]
+        assert near == pytest.approx(len(one & two) / len(one | two))
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(passage(1, 400)), " ".join(passage(2, 400))
     both = FP.encoded(*FP.sketches(pa.array([a, b])))
@@ -288,6 +421,53 @@ def test_url_filter(spark):
     assert all(r["verdict"] in ("allow", "block") for r in got.values())
 
 
+def test_url_parts_and_rules_equal_their_sql(spark):
+    import duckdb
+
+    pages = "/root/testdata/sf0.01/pages.parquet"
+    sql = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS place FROM '{pages}'),
+r AS (SELECT page_id, CASE WHEN place > 0 THEN substr(url, place + 3) ELSE '' END AS rest FROM p),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules AS (SELECT * FROM (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')) t(verdict, rule)),
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN rules
+      ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, position('/' IN rule))) GROUP BY page_id)
+SELECT h.page_id, host, path, m.rule, m.verdict FROM h LEFT JOIN m ON m.page_id = h.page_id"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {r["page_id"]: r for r in QUERIES["op8_url_filter"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(want)
+    for i, (host, path, rule, verdict) in want.items():
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["verdict"] == verdict or rule is None
+
+
+def test_url_scores_against_a_fit_in_one_place(spark):
+    from pyspark.ml.feature import HashingTF
+
+    words = ["casino", "win", "bet", "news", "blog", "docs"]
+    rows = [(f"http://{w}{i}.example.org/{words[(k + i) % 6]}/{i}", k < 3) for k, w in enumerate(words) for i in range(20)]
+    df = spark.createDataFrame(rows, "url string, blocked boolean")
+    judged = urlfilter.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string"), df, rules=(), buckets=256, penalty=0.01)
+    got = {r["page_id"]: r["score"] for r in judged.collect()}
+    grams = HashingTF(numFeatures=256, inputCol="g", outputCol="f").transform(df.select("url", urlfilter.grams_of(urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url"))).alias("g")))
+    x = {r["url"]: r["f"].toArray() for r in grams.collect()}
+    a = np.column_stack([np.array([x[u] for u, _ in rows]), np.ones(len(rows))])
+    y, w = np.array([b for _, b in rows], float), np.zeros(257)
+    ridge = np.diag([0.01] * 256 + [0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(a @ w)))
+        w = w - np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a / len(a) + ridge + 1e-12 * np.eye(257), a.T @ (p - y) / len(a) + ridge @ w)
+    assert np.abs(a @ w - np.array([got[i] for i in range(len(rows))])).max() < 0.05
+
+
+def test_url_filter_of_repeats_and_empty_tables(spark):
+    urls = ["http://x.com/a"] * 40 + [f"http://p{i}.net/fr/{i}" for i in range(9)] + [f"http://q{i}.org/z" for i in range(9)]
+    df = spark.createDataFrame([(i, u, 1, "s") for i, u in enumerate(urls)], "page_id long, url string, score int, host string")
+    got = urlfilter.judge(df).collect()
+    assert len(got) == len(urls) and len({(r["verdict"], r["score"]) for r in got[:40]}) == 1
+    assert urlfilter.judge(df.limit(0)).count() == 0
+
+
 def test_url_model_learns(spark):
     words = ["casino", "win", "bet"], ["news", "blog", "docs"]
     rows = [(f"http://{w}{i}.example.org/{w}/{i}", bool(k)) for k, some in enumerate((words[1], words[0])) for w in some for i in range(40)]
