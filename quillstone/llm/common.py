@@ -78,7 +78,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int,
     """
     more = [c for c in groups.columns if c not in (*keys, "n")]
     hot = groups.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in more))
-    rest = groups.where(F.col("n") * HOT <= total).select(*keys, F.lit(0).cast("long").alias("__salt"), *more)
+    rest = groups.where(F.col("n") * HOT <= total).select(*keys, F.pmod(F.xxhash64(*keys), F.lit(1)).alias("__salt"), *more)  # 0, but no literal, or it would not be a join key
     known = rows.join(F.broadcast(hot), keys, "left")
     if alone is not None:
         known = known.withColumns({c: F.when(~alone, F.col(c)) for c in hot.columns if c not in keys})
