@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, make_dir, open_fs, pieces, shared_dir
+from .common import load, make_dir, open_fs, pieces, shared_dir, slices, strings
 from .tokens import worker_tokenizer
 
 SEQUENCE = 2048
@@ -85,7 +85,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     Rows go out in ascending (doc_id, text) order, null ids first; repeated ids stay separate
     documents. An empty table gives an empty manifest. Other columns are ignored. ids are
-    uint16, or uint32 with `wide` (vocabularies over 65,536).
+    uint16, or uint32 with `wide` (vocabularies over 65,536). A shard is closed once it has
+    `shard_tokens`, looked at after every 4 MB of texts or one longer text, so that bounds it and the task's memory.
     """
     data = make_dir(f"{path}/data")
     kind = "<u4" if wide else "<u2"
@@ -100,12 +101,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.record_batch({"file": [name], "part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "n_tokens": pa.array([size], pa.int64())})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                ids, offs = encoder.encode(some.column(1), end_id)
+            for at, texts in slices(strings(batch.column(1)), 4 << 20):
+                ids, offs = encoder.encode(texts, end_id)
                 held.append(ids)
                 lens.append(np.diff(offs))
-                names += some.column(0).to_pylist()
+                names += batch.column(0).slice(at, len(texts)).to_pylist()
                 size += len(ids)
                 if size >= shard_tokens:
                     yield flush()
