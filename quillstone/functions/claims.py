@@ -11,9 +11,7 @@ from .text import stripped
 _TOKEN = "[a-z0-9]+"
 #: What counts as a number, as a day.
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$|^[+-]?(?i:inf|infinity|nan)$"
-_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
-_YEAR = r"(?:19|20)\d{2}\b"
-DAY = rf"(?i)\b{_MONTH}\.?\s+\d{{1,2}},?\s*{_YEAR}|\b\d{{1,2}}(?:st|nd|rd|th)?\s+{_MONTH}\.?,?\s*{_YEAR}"
+DAY = r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s*(?:19|20)\d{2}\b|\b\d{1,2}(?:st|nd|rd|th)?\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s*(?:19|20)\d{2}\b"
 
 
 def _none(c: Column) -> Column:

@@ -7,7 +7,9 @@ plain Python; documents are independent and dealt by their id.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,51 +17,54 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 
 
-def boundary(text: str, hard_end: int) -> int:
-    """Behind the last of the best kind of break in reach before hard_end, else hard_end."""
-    low = max(0, hard_end - S.BOUNDARY_REACH)
-    for mark in S.BOUNDARIES:
-        at = text.rfind(mark, low + 1, hard_end)
-        if at >= 0:
-            return at + len(mark)
-    return hard_end
+class Spine:
+    """A document's pages as one text; `start` and `end` are sorted arrays of the pages' places in it."""
 
+    def __init__(self, pages: list[tuple[int, str]]) -> None:
+        self.numbers = [n for n, _ in pages]
+        self.text = S.PAGE_BREAK.join(t for _, t in pages)
+        size = np.array([len(t) for _, t in pages], np.int64)
+        self.start = np.cumsum(size + len(S.PAGE_BREAK)) - size - len(S.PAGE_BREAK)
+        self.end = self.start + size
 
-def spans_of(pages: list[tuple[int, str]]) -> tuple[str, list[tuple[int, int, int]]]:
-    spans, at = [], 0
-    for number, text in pages:
-        spans.append((number, at, at + len(text)))
-        at += len(text) + len(S.PAGE_BREAK)
-    return S.PAGE_BREAK.join(t for _, t in pages), spans
+    def pages_of(self, a: int, b: int) -> tuple[int, int]:
+        """The first and last page (by place) that text from a to b touches; text of page breaks alone belongs to the page before."""
+        first, last = int(np.searchsorted(self.end, a, "right")), int(np.searchsorted(self.start, b, "left")) - 1
+        if first > last:  # between pages, or at empty ones
+            first = last = max(0, int(np.searchsorted(self.start, a, "right")) - 1)
+        return first, last
 
+    def stop(self, hard: int) -> int:
+        """Where a chunk that may reach to `hard` stops: behind the latest of the best kind of break within reach, else there."""
+        reach = self.text[max(0, hard - S.BOUNDARY_REACH) + 1 : hard]
+        tails = ((reach.rpartition(mark), mark) for mark in S.BOUNDARIES)
+        return next((hard - len(tail) for (_, found, tail), _ in tails if found), hard)
 
-def covering(spans: list[tuple[int, int, int]], start: int, end: int) -> list[tuple[int, int, int]]:
-    """Spans that meet [start, end); without any the last that begins by start, or the first."""
-    got = [s for s in spans if s[1] < end and s[2] > start]
-    return got or [([s for s in spans if s[1] <= start] or spans[:1])[-1]]
+    def cuts(self, target: int, overlap: int) -> Iterator[tuple[int, int]]:
+        """Starts and ends of the chunks, blank ones included; each starts `overlap` before the last one's end, and further on than it."""
+        size, a, b = len(self.text), 0, 0
+        while b < size:
+            b = size if size - a <= target else self.stop(a + target)
+            b = b if b > a else a + target
+            yield a, b
+            a = max(a + 1, b - overlap)
 
 
 def cut(pages: list[tuple[int, str]], target: int = S.CHUNK_CHARS, overlap: int = S.CHUNK_OVERLAP) -> list[dict]:
+    """The chunks of one document's pages (number, text) in order; pages without any text have none."""
     if overlap >= target:
         raise ValueError("the overlap must be smaller than the chunk")
-    text, spans = spans_of(pages)
-    out: list[dict] = []
-    start, size = 0, len(text) if text.strip() else 0
-    while start < size:
-        end = size if start + target >= size else boundary(text, start + target)
-        end = end if end > start else min(start + target, size)
-        part = text[start:end]
-        if part.strip():
-            on = covering(spans, start, end)
-            out.append({"chunk_index": len(out), "page_start": on[0][0], "page_end": on[-1][0], "char_offset": max(0, start - on[0][1]), "text": part, "token_count": max(1, len(part) // 4)})
-        if end == size:
-            break
-        start = max(start + 1, end - overlap)
-    return out
+    spine = Spine(pages)
+    kept = [(a, b) for a, b in spine.cuts(target, overlap) if not spine.text[a:b].isspace()] if spine.text.strip() else []
+    touched = [spine.pages_of(a, b) for a, b in kept]
+    return [
+        {"chunk_index": i, "page_start": spine.numbers[p], "page_end": spine.numbers[q], "char_offset": max(0, a - int(spine.start[p])), "text": spine.text[a:b], "token_count": max(1, (b - a) // 4)}
+        for i, ((a, b), (p, q)) in enumerate(zip(kept, touched, strict=True))
+    ]
 
 
 def chunk_pages(pages: DataFrame, target: int = S.CHUNK_CHARS, overlap: int = S.CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of every document: id, doc_id, chunk_index, page_start, page_end, char_offset, text, token_count, content_hash."""
+    """Chunks of every document (a document's pages are in one task): id, doc_id, chunk_index, page_start, page_end, char_offset, text, token_count, content_hash."""
     if overlap >= target:
         raise ValueError("the overlap must be smaller than the chunk")
     names = ["id", "doc_id", "chunk_index", "page_start", "page_end", "char_offset", "text", "token_count", "content_hash"]

@@ -34,9 +34,9 @@ def fact_id(doc_id: Column, chunk_id: Column, entity: Column, metric: Column, qu
 
 
 def upsert(stored: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """Rows of new replace those of stored with equal keys; of repeated new keys one stays."""
+    """Rows of new replace those of stored with equal keys; of repeated new keys that of the smallest hash of its columns stays."""
     rows = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__new")))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__new"), F.xxhash64(*[F.col(c) for c in rows.columns])))
     return rows.withColumn("__nth", nth).where("__nth = 1").drop("__new", "__nth")
 
 

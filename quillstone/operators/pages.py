@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import stripped
 
+#: No offset; a number beyond all pages and offsets, to code them in one.
+NONE, BASE = -(1 << 40), 1 << 30
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
@@ -27,34 +31,52 @@ def printed_candidates(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(found, lambda x: x.cast("int"))), lambda v: (v > 0) & (v <= S.MOST_PRINTED))
 
 
+def _offsets(found: list[list[int]], k: int) -> np.ndarray:
+    """For each page the offset that most pages around it share at k printed pages a sheet, if a page beside it agrees; else NONE."""
+    out = np.full(len(found), NONE)
+    size = np.array([len(x) for x in found], np.int64)
+    place, shown = np.repeat(np.arange(len(found)), size), np.array([v for x in found for v in x], np.int64)
+    if not len(shown):
+        return out
+    # one row for each number and each of the k pages of the sheet that it may stand on
+    i = np.repeat(place, k)
+    o = (np.repeat(shown, k) - k * i) - np.tile(np.arange(k), len(shown))
+    coded, fit = np.unique((o + BASE) * BASE + i, return_counts=True)  # by offset, then page
+    o, i = coded // BASE - BASE, coded % BASE
+    votes = np.searchsorted(coded, coded + S.VOTE_WINDOW, "right") - np.searchsorted(coded, coded - np.minimum(i, S.VOTE_WINDOW)) - 1
+    best = np.lexsort((o, -np.abs(o), fit, votes, i))
+    last = best[np.append(i[best][1:] != i[best][:-1], True)]
+    last = last[votes[last] >= S.LEAST_VOTES]
+    picked = np.full(len(found) + 2, NONE)
+    picked[i[last] + 1] = o[last]
+    own = picked[1:-1]
+    agreed = (own != NONE) & ((picked[:-2] == own) | (picked[2:] == own))
+    out[agreed] = own[agreed]
+    return out
+
+
 def printed_pages(pages: DataFrame) -> DataFrame:
     """doc_id, page_number, printed_page (a label like 43 or 42-43, or null) and printed_last of every page.
 
     Each candidate votes, for one or two printed pages a sheet, for the offset between its number and
     the page's place; offsets are counted over neighbouring pages, the best one of a page stands if a
-    page beside it agrees, and two pages a sheet win only by a clear margin.
+    page beside it agrees, and two pages a sheet win only by a clear margin. Numbers are found in the
+    JVM; the votes of one document are counted together, which takes its pages' numbers alone.
     """
-    doc = Window.partitionBy("doc_id")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("page_number")
+        found = table["found"].to_pylist()
+        one, two = (_offsets(found, k) for k in S.SHEET_FACTORS)
+        wide = int((two != NONE).sum()) > S.SHEET_PREFERENCE * int((one != NONE).sum())
+        offset, k = (two, 2) if wide else (one, 1)
+        low = k * np.arange(len(found)) + offset
+        known = (offset != NONE) & (low >= 1)
+        label = [None if not ok else f"{n}-{n + 1}" if wide else str(n) for n, ok in zip(low.tolist(), known.tolist(), strict=True)]
+        return pa.table({"doc_id": table["doc_id"], "page_number": table["page_number"], "printed_page": pa.array(label, pa.string()), "printed_last": pa.array(np.where(known, low + k - 1, 0), pa.int32(), mask=~known)})
+
     spine = pages.select("doc_id", "page_number", printed_candidates(F.col("text")).alias("found"))
-    spine = spine.withColumn("i", F.row_number().over(doc.orderBy("page_number")) - 1)
-    spine = spine.withColumn("k", F.explode(F.array(*[F.lit(k) for k in S.SHEET_FACTORS])))
-    seen = spine.select("doc_id", "k", "i", F.explode("found").alias("v")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    seen = seen.withColumn("o", F.col("v") - F.col("k") * F.col("i") - F.col("d"))
-    fits = seen.groupBy("doc_id", "k", "i", "o").agg(F.count_distinct("v").alias("fit"))
-    near = Window.partitionBy("doc_id", "k", "o").orderBy("i").rangeBetween(-S.VOTE_WINDOW, S.VOTE_WINDOW)
-    fits = fits.withColumn("votes", F.count("*").over(near) - 1)
-    picks = fits.groupBy("doc_id", "k", "i").agg(F.max(F.struct("votes", "fit", (-F.abs("o")).alias("near"), "o")).alias("best"))
-    picks = picks.where(F.col("best.votes") >= S.LEAST_VOTES).select("doc_id", "k", "i", F.col("best.o").alias("o"))
-    line = Window.partitionBy("doc_id", "k").orderBy("i")
-    full = spine.select("doc_id", "page_number", "k", "i").join(picks, ["doc_id", "k", "i"], "left")
-    agreed = F.coalesce((F.lag("o").over(line) == F.col("o")) | (F.lead("o").over(line) == F.col("o")), F.lag("o").over(line) == F.col("o"), F.lead("o").over(line) == F.col("o"), F.lit(False))
-    full = full.withColumn("o", F.when(agreed, F.col("o")))
-    wide = full.groupBy("doc_id", "page_number", "i").agg(F.max(F.when(F.col("k") == 1, F.col("o"))).alias("o1"), F.max(F.when(F.col("k") == 2, F.col("o"))).alias("o2"))
-    two = F.count("o2").over(doc) > S.SHEET_PREFERENCE * F.count("o1").over(doc)
-    low = F.when(two, 2 * F.col("i") + F.col("o2")).otherwise(F.col("i") + F.col("o1"))
-    out = wide.withColumn("two", two).withColumn("low", low).withColumn("low", F.when(F.col("low") >= 1, F.col("low")))
-    label = F.when(F.col("two"), F.concat_ws("-", F.col("low"), F.col("low") + 1)).otherwise(F.col("low").cast("string"))
-    return out.select("doc_id", "page_number", F.when(F.col("low").isNotNull(), label).alias("printed_page"), F.when(F.col("two"), F.col("low") + 1).otherwise(F.col("low")).alias("printed_last"))
+    return spine.groupBy("doc_id").applyInArrow(run, f"doc_id {pages.schema['doc_id'].dataType.simpleString()}, page_number {pages.schema['page_number'].dataType.simpleString()}, printed_page string, printed_last int")
 
 
 def page_spans(pages: DataFrame) -> DataFrame:

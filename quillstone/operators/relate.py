@@ -1,43 +1,55 @@
 """Relationships between facts: corroboration, contradiction, reconciliation.
 
-Candidates come from equi-joins on the entity, the fact type and a shared word of the metric; every
-threshold on the words' overlap is above 0, so none is lost. Three-way sums meet on the bucket, a
-shared word and the bin of the missing addend. Evidence is attached by position at the end.
+Candidates come from equi-joins on the entity and a shared word of the metric, for numeric facts on the
+year and on being a percentage as well; every threshold on the words' overlap is above 0, so none is
+lost. Three-way sums meet on the bucket, a shared word and the bin of the missing addend. A fact's
+place in order, pos, is its bucket's first fact_seq and its own. Evidence is attached at the end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from weakref import WeakKeyDictionary
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.claims import flat, same_meaning, token_overlap, values_match, with_claims
+from ..functions.text import stripped
 
 EVIDENCE = ("doc_id", "entity", "metric", "value", "period_label", "basis", "status", "page_number", "printed_page", "quote")
+#: Powers of two: figures up to twice 2^46 have bins of 2^(46 - 49), larger ones of their own exponent less 49.
+_SCALE, _STEPS = 46, 49
+_HELD: WeakKeyDictionary[SparkSession, DataFrame] = WeakKeyDictionary()
 
 
 def dedupe(facts: DataFrame) -> DataFrame:
     """One fact for each statement extracted twice; facts come back with claims and pos, their place in order.
 
     Facts of one document, page, entity and value are taken in order of fact_seq; one goes if its
-    quote equals, holds or is held by that of one already kept. Only id and quote pass the fold.
+    quote equals, holds or is held by that of one already kept. Equal quotes are one before they are
+    compared, and only buckets with several are; id, quote and place alone pass that step. Empty
+    quotes equal none.
     """
-    rows = with_claims(facts)
-    rows = rows.withColumns({"__e": flat(F.col("entity")), "__v": flat(F.col("value"))})
+    rows = with_claims(facts.drop("pos")).withColumns({"__e": flat(F.col("entity")), "__v": flat(F.col("value"))})
     bucket = ["doc_id", "page_number", "__e", "__v"]
-    small = rows.groupBy(*bucket).agg(F.array_sort(F.collect_list(F.struct("fact_seq", "id", F.col("quote_form").alias("q")))).alias("all"), F.min("fact_seq").alias("__first"))
-    zero = F.slice(F.col("all"), 1, 0)
-    clash = lambda acc, x: (x["q"] != "") & F.exists(acc, lambda k: F.contains(k["q"], x["q"]) | F.contains(x["q"], k["q"]))
-    kept = F.aggregate("all", zero, lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    ids = small.select("__first", F.explode(kept).alias("k")).select("__first", F.col("k.fact_seq").alias("__seq"), F.col("k.id").alias("__id"))
-    out = rows.join(ids, (rows["fact_seq"] == ids["__seq"]) & (rows["id"] == ids["__id"]))
-    out = out.withColumn("__at", F.struct("__first", "fact_seq"))
-    return _ranked(out, "__at", "pos").drop("__e", "__v", "__first", "__seq", "__id", "__at")
+    own = F.when(F.col("quote_form") == "", F.struct("fact_seq", "id"))
+    one = rows.groupBy(*bucket, F.col("quote_form").alias("q"), own.alias("own")).agg(F.min(F.struct("fact_seq", "id")).alias("f"))
+    some = F.array_sort(F.collect_list(F.when(F.col("q") != "", F.struct("f.fact_seq", "f.id", "q"))))
+    blank = F.collect_list(F.when(F.col("q") == "", F.struct("f.fact_seq", "f.id", "q")))
+    of = one.groupBy(*bucket).agg(some.alias("all"), blank.alias("blank"), F.min("f.fact_seq").alias("first"))
+    clash = lambda acc, x: F.exists(acc, lambda k: F.contains(k["q"], x["q"]) | F.contains(x["q"], k["q"]))
+    folded = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    kept = F.concat(F.when(F.size("all") > 1, folded).otherwise(F.col("all")), "blank")
+    ids = of.select("first", F.explode(kept).alias("k")).select(F.struct("first", F.col("k.fact_seq").alias("seq")).alias("pos"), F.col("k.fact_seq").alias("__seq"), F.col("k.id").alias("__id"))
+    return rows.join(ids, (rows["fact_seq"] == ids["__seq"]) & (rows["id"] == ids["__id"])).drop("__e", "__v", "__seq", "__id")
 
 
-def _ranked(df: DataFrame, by: str, name: str) -> DataFrame:
-    """Adds an order-preserving position: the bucket's first fact_seq and the own one, in one number."""
-    return df.withColumn(name, F.col(f"{by}.__first").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(20,0)") + F.col(f"{by}.fact_seq"))
+def _bucket(entity: Column, year: Column | None = None, basis: Column | None = None) -> list[Column]:
+    """The bucket whose first fact leads a relation: the entity for pairs, entity, year (-1: none) and basis for sums."""
+    year = F.lit(-1) if year is None else F.coalesce(year, F.lit(-1))
+    return [entity.alias("of_entity"), year.alias("of_year"), (F.lit("") if basis is None else basis).alias("of_basis")]
 
 
 def _sides(facts: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -46,40 +58,51 @@ def _sides(facts: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     return one, two
 
 
-def candidate_pairs(deduped: DataFrame) -> DataFrame:
-    """Pairs a before b of one entity and type with a shared metric word, once each, with the columns that the rules need."""
-    need = ["pos", "id", "entity_key", "fact_type", "tokens", "num", "year", "day", "pct", "period_label", "basis_key", "meaning", "value"]
+def candidate_pairs(deduped: DataFrame, numeric: bool) -> DataFrame:
+    """Pairs a before b of one entity and kind with a shared metric word, once each, with the columns that the rules need.
+
+    Numeric facts relate only within a year that both have, as percentages or as other figures.
+    """
+    kind = F.col("fact_type") == "numeric"
+    if numeric:
+        rows, alike = deduped.where(kind & F.col("num").isNotNull() & F.col("year").isNotNull()), ["entity_key", "year", "pct"]
+        need = ["pos", "id", *alike, "tokens", "num", "day", "period_label", "basis_key"]
+    else:
+        rows, alike = deduped.where(~F.coalesce(kind, F.lit(False)) & F.col("fact_type").isNotNull() & (F.coalesce("value", F.lit("")) != "")), ["entity_key", "fact_type"]
+        need = ["pos", "id", *alike, "tokens", "meaning"]
     # the first shared word alone makes the pair, so pairs need no distinct
-    a, b = _sides(deduped.select(*need).withColumn("t", F.explode("tokens")), [*need, "t"])
+    a, b = _sides(rows.select(*need).withColumn("t", F.explode("tokens")), [*need, "t"])
     first = F.col("a_t") == F.array_min(F.array_intersect("a_tokens", "b_tokens"))
-    on = (a["a_entity_key"] == b["b_entity_key"]) & (a["a_fact_type"] == b["b_fact_type"]) & (a["a_t"] == b["b_t"])
+    on = reduce(lambda x, c: x & (a[f"a_{c}"] == b[f"b_{c}"]), alike, a["a_t"] == b["b_t"])
     return a.join(b, on).where((F.col("a_pos") < F.col("b_pos")) & (F.col("a_id") != F.col("b_id"))).where(first).drop("a_t", "b_t")
 
 
 def numeric_relation(a: str = "a_", b: str = "b_") -> Column:
+    """Of a candidate pair: same year, kind of figure and entity."""
     col = lambda s, c: F.col(s + c)
-    days = col(a, "day") & col(b, "day") & (col(a, "period_label") != col(b, "period_label"))
-    same_period = F.coalesce((col(a, "year") == col(b, "year")) & ~days, F.lit(False))
+    days = col(a, "day") & col(b, "day") & (stripped(col(a, "period_label")) != stripped(col(b, "period_label")))
     same_basis, equal = col(a, "basis_key") == col(b, "basis_key"), F.coalesce(values_match(col(a, "num"), col(b, "num")), F.lit(False))
     overlap = token_overlap(col(a, "tokens"), col(b, "tokens"))
-    least = F.when(col(a, "pct"), S.OVERLAP_DIFFERING).when(equal, S.OVERLAP_EQUAL).otherwise(S.OVERLAP_DIFFERING)
-    sound = col(a, "num").isNotNull() & col(b, "num").isNotNull() & (col(a, "pct") == col(b, "pct")) & (overlap >= least) & same_period
+    least = F.when(~col(a, "pct") & equal, S.OVERLAP_EQUAL).otherwise(S.OVERLAP_DIFFERING)
+    sound = (overlap >= least) & ~F.coalesce(days, F.lit(False))
     return F.when(sound & same_basis & equal, S.RELATIONS[0]).when(sound & same_basis, S.RELATIONS[1]).when(sound & ~equal, S.RELATIONS[2])
 
 
 def semantic_relation(a: str = "a_", b: str = "b_") -> Column:
     col = lambda s, c: F.col(s + c)
-    some = lambda s: F.coalesce(col(s, "value"), F.lit("")) != ""
-    sound = some(a) & some(b) & (token_overlap(col(a, "tokens"), col(b, "tokens")) >= S.OVERLAP_SEMANTIC)
+    sound = token_overlap(col(a, "tokens"), col(b, "tokens")) >= S.OVERLAP_SEMANTIC
     return F.when(sound & same_meaning(col(a, "meaning"), col(b, "meaning")), S.RELATIONS[0]).when(sound, S.RELATIONS[1])
 
 
 def pairwise(deduped: DataFrame) -> DataFrame:
-    """relation_type, positions (array) and ids of every pair that relates."""
-    pairs = candidate_pairs(deduped)
-    kind = F.when(F.col("a_fact_type") == "numeric", numeric_relation()).otherwise(semantic_relation())
-    found = pairs.withColumn("relation_type", kind).where("relation_type IS NOT NULL")
-    return found.select("relation_type", F.lit(0).alias("family"), F.array("a_pos", "b_pos").alias("positions"), F.array("a_id", "b_id").alias("fact_ids"))
+    """relation_type, positions (array), fact_ids and the bucket of every pair that relates."""
+
+    def related(numeric: bool) -> DataFrame:
+        kind = numeric_relation() if numeric else semantic_relation()
+        found = candidate_pairs(deduped, numeric).withColumn("relation_type", kind).where("relation_type IS NOT NULL")
+        return found.select("relation_type", F.lit(0).alias("family"), F.array("a_pos", "b_pos").alias("positions"), F.array("a_id", "b_id").alias("fact_ids"), *_bucket(F.col("a_entity_key")))
+
+    return related(True).unionByName(related(False))
 
 
 def additive(deduped: DataFrame) -> DataFrame:
@@ -87,36 +110,50 @@ def additive(deduped: DataFrame) -> DataFrame:
     sums = deduped.where((F.col("fact_type") == "numeric") & ~F.col("pct") & F.col("num").isNotNull() & ~F.isnan("num") & (F.abs("num") < float("inf")))
     sums = sums.select("pos", "id", "entity_key", "year", "basis_key", "tokens", "num")
     near = lambda x, y: F.abs(x - y) <= F.lit(S.TOLERANCE)
-    wide = 1e14  # beyond, one step of a double is wider than a bin
     col = lambda s, c: F.col(f"{s}_{c}")
     side = lambda s: sums.select(*[F.col(c).alias(f"{s}_{c}") for c in sums.columns])
     c, x, y = side("c"), side("x"), side("y")
     same = lambda p, q: (col(p, "entity_key") == col(q, "entity_key")) & col(p, "year").eqNullSafe(col(q, "year")) & (col(p, "basis_key") == col(q, "basis_key"))
+    # bins are 1/8 wide, but 8 steps of a double where figures are so large that this is more
+    scale = lambda *of: F.greatest(F.lit(_SCALE), *(F.floor(F.log2(F.abs(v))).cast("int") for v in of))
+    in_bin = lambda v, e: F.floor(v / F.pow(F.lit(2.0), e - F.lit(_STEPS)))
     ct, xt = c.withColumn("c_t", F.explode("c_tokens")), x.withColumn("x_t", F.explode("x_tokens"))
     first = F.col("c_t") == F.array_min(F.array_intersect("c_tokens", "x_tokens"))
     with_word = ct.join(xt, same("c", "x") & (F.col("c_t") == F.col("x_t"))).where((F.col("c_id") != F.col("x_id")) & first & ~near(F.col("x_num"), F.col("c_num"))).drop("c_t", "x_t")
-    rest = F.col("c_num") - F.col("x_num")
-    large = F.greatest(F.abs("c_num"), F.abs("x_num")) >= wide
-    probe = with_word.withColumn("bin", F.explode(F.when(large, F.array(F.lit(float("inf")))).otherwise(F.transform(F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0)), lambda d: F.floor(rest * 10).cast("double") + d))))
-    # every addend is also in the bin where the large values look
-    own = F.when(F.abs("y_num") < wide, F.array(F.floor(F.col("y_num") * 10).cast("double"), F.lit(float("inf")))).otherwise(F.array(F.lit(float("inf"))))
-    indexed = y.withColumn("y_bin", F.explode(own))
-    joined = probe.join(indexed, same("c", "y") & (F.col("bin") == F.col("y_bin")))
+    probe = with_word.withColumn("scale", scale(F.col("c_num"), F.col("x_num")))
+    middle = in_bin(F.col("c_num") - F.col("x_num"), F.col("scale"))
+    probe = probe.withColumn("bin", F.explode(F.array(middle - 1, middle, middle + 1)))
+    # addends are in the bins of the usual scale, and of the scales of their own bucket's large figures
+    usual = y.withColumn("y_scale", F.lit(_SCALE))
+    large = sums.where(F.abs("num") >= 2.0 ** (_SCALE + 1)).select("entity_key", "year", "basis_key", scale(F.col("num")).alias("y_scale")).distinct().where(F.col("y_scale") > _SCALE)
+    large = large.select(*[F.col(k).alias(f"s_{k}") for k in ("entity_key", "year", "basis_key")], "y_scale")
+    other = y.join(large, same("y", "s")).select(*y.columns, "y_scale")
+    indexed = usual.unionByName(other).withColumn("y_bin", in_bin(F.col("y_num"), F.col("y_scale")))
+    joined = probe.join(indexed, same("c", "y") & (F.col("scale") == F.col("y_scale")) & (F.col("bin") == F.col("y_bin")))
     before = F.col("x_pos") < F.col("y_pos")
     a_num, b_num = F.when(before, F.col("x_num")).otherwise(F.col("y_num")), F.when(before, F.col("y_num")).otherwise(F.col("x_num"))
-    ok = (F.col("y_id") != F.col("c_id")) & (F.col("y_id") != F.col("x_id")) & ~near(F.col("y_num"), F.col("c_num")) & (F.abs(a_num + b_num - F.col("c_num")) <= F.lit(S.TOLERANCE))
-    found = joined.where(ok).select("c_pos", F.when(before, F.col("x_pos")).otherwise(F.col("y_pos")).alias("a_pos"), F.when(before, F.col("y_pos")).otherwise(F.col("x_pos")).alias("b_pos"), F.when(before, F.col("x_id")).otherwise(F.col("y_id")).alias("a_id"), F.when(before, F.col("y_id")).otherwise(F.col("x_id")).alias("b_id"), "c_id").distinct()
-    return found.select(F.lit(S.RELATIONS[2]).alias("relation_type"), F.lit(1).alias("family"), F.array("c_pos", "a_pos", "b_pos").alias("positions"), F.array("a_id", "b_id", "c_id").alias("fact_ids"))
+    # where both addends share a word with the sum, the earlier one alone probes, so sums need no distinct
+    once = before | ~F.arrays_overlap("y_tokens", "c_tokens")
+    ok = once & (F.col("y_id") != F.col("c_id")) & (F.col("y_id") != F.col("x_id")) & ~near(F.col("y_num"), F.col("c_num")) & (F.abs(a_num + b_num - F.col("c_num")) <= F.lit(S.TOLERANCE))
+    pick = lambda k: (F.when(before, F.col(f"x_{k}")).otherwise(F.col(f"y_{k}")), F.when(before, F.col(f"y_{k}")).otherwise(F.col(f"x_{k}")))
+    return joined.where(ok).select(F.lit(S.RELATIONS[2]).alias("relation_type"), F.lit(1).alias("family"), F.array("c_pos", *pick("pos")).alias("positions"), F.array(*pick("id"), "c_id").alias("fact_ids"), *_bucket(F.col("c_entity_key"), F.col("c_year"), F.col("c_basis_key")))
 
 
 def relationships(facts: DataFrame) -> DataFrame:
-    """relation_type, fact_ids, order_key (pairs by entity and position, then sums by bucket and position)."""
-    deduped = dedupe(facts).persist()  # read four times; what is lost with an executor is computed again
+    """relation_type, fact_ids, order_key (pairs by entity and position, then sums by bucket and position).
+
+    The deduplicated facts are read several times, so they are kept in the session's cache until the
+    next call; what is lost with an executor is computed again.
+    """
+    spark = facts.sparkSession
+    if spark in _HELD:
+        _HELD.pop(spark).unpersist()
+    deduped = _HELD[spark] = dedupe(facts).persist()
+    where = ["family", "of_entity", "of_year", "of_basis"]
+    places = deduped.select(F.lit(0).alias("family"), *_bucket(F.col("entity_key")), "pos").unionByName(deduped.select(F.lit(1).alias("family"), *_bucket(F.col("entity_key"), F.col("year"), F.col("basis_key")), "pos"))
     both = pairwise(deduped).unionByName(additive(deduped))
-    entity = deduped.select(F.col("id").alias("__id"), F.min("pos").over(Window.partitionBy("entity_key")).alias("__of"), F.min("pos").over(Window.partitionBy("entity_key", "year", "basis_key")).alias("__sum"))
-    keyed = both.join(entity, F.element_at("fact_ids", -1) == F.col("__id"), "left")
-    lead = F.when(F.col("family") == 0, F.col("__of")).otherwise(F.col("__sum"))
-    return keyed.select("relation_type", "fact_ids", F.concat(F.array(F.col("family").cast("decimal(38,0)"), lead), "positions").alias("order_key"))
+    keyed = both.join(places.groupBy(*where).agg(F.min("pos").alias("lead")), where, "left")
+    return keyed.select("relation_type", "fact_ids", F.struct("family", "lead", "positions").alias("order_key"))
 
 
 def with_evidence(relations: DataFrame, facts: DataFrame) -> DataFrame:

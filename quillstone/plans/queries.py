@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from ..operators import pages as P
 from ..operators import relate as L
 from ..operators import responses as R
 from . import adapters as A
+from . import pipeline as W
 from . import views as V
 
 QUERIES: dict = {}
@@ -68,15 +70,15 @@ CHUNKS_SQL = """
     SELECT * FROM cut WHERE end_ IS NOT NULL)
 """
 
-CLAIMS_SQL = """SELECT *,
-  array_to_string(list_filter(regexp_extract_all(lower(entity), '[a-z0-9]+'), lambda t: NOT list_contains(['mr','mrs','ms','dr','the','limited','ltd','inc','llp','pvt','private','company','co'], t)), ' ') AS ek,
-  list_distinct(list_filter(regexp_extract_all(replace(lower(metric), '-', ''), '[a-z0-9]+'), lambda t: NOT list_contains(string_split('the a an of for on in and or to as basis from with at is was were status role by this address amount balance closing consolidated cost costs expense expenses gross net number office opening standalone total value', ' '), t))) AS tk,
+CLAIMS_SQL = f"""SELECT *,
+  array_to_string(list_filter(regexp_extract_all(lower(entity), '[a-z0-9]+'), lambda t: NOT list_contains({list(S.ENTITY_STOP)}, t)), ' ') AS ek,
+  list_distinct(list_filter(regexp_extract_all(replace(lower(metric), '-', ''), '[a-z0-9]+'), lambda t: NOT list_contains({list(S.METRIC_STOP)}, t))) AS tk,
   TRY_CAST(replace(replace(replace(value, ',', ''), '₹', ''), '%', '') AS DOUBLE) AS num,
   coalesce(TRY_CAST(regexp_extract(period_label, '20[0-9][0-9]') AS INT), 2000 + TRY_CAST(regexp_extract(period_label, 'FY ?([0-9][0-9])', 1) AS INT)) AS yr,
   lower(coalesce(basis, '')) AS bk
 FROM (<facts>)"""
 
-DEDUPED_SQL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, lower(entity), lower(coalesce(value, '')), CASE WHEN id LIKE '%-d' THEN substr(id, 1, length(id) - 2) ELSE id END ORDER BY fact_seq) AS nth FROM (<claims>)) WHERE nth = 1"""
+DEDUPED_SQL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, lower(entity), lower(coalesce(value, '')), CASE WHEN id LIKE '%-d' THEN substr(id, 1, length(id) - 2) ELSE id END ORDER BY fact_seq) AS nth, min(fact_seq) OVER (PARTITION BY doc_id, page_number, lower(entity), lower(coalesce(value, ''))) AS first_ FROM (<claims>)) WHERE nth = 1"""
 
 _OVERLAP = "CASE WHEN len(a.tk) = 0 OR len(b.tk) = 0 THEN 0 WHEN list_sort(a.tk) = list_sort(b.tk) THEN 1 WHEN len(list_distinct(a.tk || b.tk)) < 3 THEN 0 ELSE len(list_intersect(a.tk, b.tk)) / len(list_distinct(a.tk || b.tk)) END"
 
@@ -180,30 +182,8 @@ def norm_text(spark: SparkSession, sf: str) -> DataFrame:
     return A.files(spark, sf).select("doc_id", F.sha2(T.normalized(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
-def _quotes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    pages = A.pages(spark, sf)
-    chunks_ = H.chunk_pages(pages).where("chunk_index = 0")
-    starts = chunks_.withColumn("quote", F.substring("text", 200, 60)).select("id", "doc_id", "page_start", "page_end", "quote")
-    return starts, pages
-
-
 @query(
     "q_ground_quotes",
-    """WITH q AS (SELECT doc_id || ':0' AS id, doc_id, substr(text, 200, 60) AS quote, end_ FROM (<chunks>) WHERE n = 1),
-s AS (SELECT doc_id, page_number, text, sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY page_number) - length(text) - 2 AS a FROM (<pages>)),
-h AS (SELECT id, min(CASE WHEN contains(trim(regexp_replace(s.text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN page_number END) AS page_number
-      FROM q JOIN s ON s.doc_id = q.doc_id AND a < end_ GROUP BY id)
-SELECT q.id, length(trim(quote, ' ' || chr(10))) >= 12 AND h.page_number IS NOT NULL AS grounded, CASE WHEN length(trim(quote, ' ' || chr(10))) >= 12 THEN h.page_number END AS page_number,
-  CASE WHEN length(trim(quote, ' ' || chr(10))) < 12 THEN 'quote too short to be evidence' WHEN h.page_number IS NULL THEN 'quote not found on any page in range' END AS reason
-FROM q LEFT JOIN h ON h.id = q.id""",
-)
-def ground_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    quotes, pages = _quotes(spark, sf)
-    return G.ground(quotes, pages, "id").select("id", "grounded", "page_number", "reason")
-
-
-@query(
-    "q_ground_all_quotes",
     """WITH s AS (SELECT doc_id, page_number, text, sum(length(text) + 2) OVER w - length(text) - 2 AS a, sum(length(text) + 2) OVER w - 2 AS b FROM (<pages>) WINDOW w AS (PARTITION BY doc_id ORDER BY page_number)),
 q AS (SELECT doc_id || ':' || CAST(n - 1 AS VARCHAR) AS id, doc_id, substr(text, 200, 60) AS quote, start_, end_ FROM (<chunks>)),
 h AS (SELECT id, min(CASE WHEN contains(trim(regexp_replace(s.text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN page_number END) AS page_number
@@ -212,8 +192,8 @@ SELECT q.id, length(trim(quote, ' ' || chr(10))) >= 12 AND h.page_number IS NOT
   CASE WHEN length(trim(quote, ' ' || chr(10))) < 12 THEN 'quote too short to be evidence' WHEN h.page_number IS NULL THEN 'quote not found on any page in range' END AS reason
 FROM q LEFT JOIN h ON h.id = q.id""",
 )
-def ground_all_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    """A quote of every chunk; q_ground_quotes has the first chunks alone."""
+def ground_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """A quote of every chunk, on the pages that the chunk covers."""
     pages = A.pages(spark, sf)
     quotes = H.chunk_pages(pages).withColumn("quote", F.substring("text", 200, 60)).select("id", "doc_id", "page_start", "page_end", "quote")
     return G.ground(quotes, pages, "id").select("id", "grounded", "page_number", "reason")
@@ -221,16 +201,10 @@ def ground_all_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q_ground_benchmark", "SELECT item_id, CAST(d.doc_id AS VARCHAR) AS doc_id FROM {benchmark} b JOIN {documents} d ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) AND length(trim(b.text)) >= 12")
 def ground_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Which documents hold which benchmark passage, of five words or more: they meet through the second to fourth word, which no cut touches."""
+    """Which documents hold which benchmark passage."""
     items = spark.read.parquet(f"{sf}/benchmark.parquet").where(F.length(T.stripped(F.col("text"))) >= S.QUOTE_CHARS)
-    items = items.select("item_id", T.match_form(F.col("text")).alias("quote"))
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), T.match_form(F.col("text")).alias("page"))
-    key = F.concat_ws(" ", *[F.get(F.split("quote", " "), i) for i in range(1, 4)])
-    items = items.withColumn("key", key)
-    words = docs.withColumn("w", F.split("page", " ")).withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 3))))
-    keyed = words.select("doc_id", F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(3)]).alias("key"))
-    pairs = keyed.join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return pairs.join(items.select("item_id", "quote"), "item_id").join(docs, "doc_id").where(F.contains("page", "quote")).select("item_id", "doc_id")
+    return G.holding(docs, items.select("item_id", T.match_form(F.col("text")).alias("quote")))
 
 
 @query("q_json_array", "SELECT chunk_id, CASE CAST(chunk_id AS BIGINT) % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 7 THEN 2 WHEN 8 THEN 1 ELSE -1 END AS n FROM (<responses>)")
@@ -291,9 +265,12 @@ def cache_store(spark: SparkSession, sf: str) -> DataFrame:
     return R.stored(have, new).select("content_hash", "response_text")
 
 
-@query("q_prompt", "SELECT doc_id, contains(text, '') AS whole FROM (<docs>)")
+_PROMPT_SQL = R.PROMPT.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query("q_prompt", f"SELECT doc_id, sha256(replace('{_PROMPT_SQL}', '{{chunk_text}}', text)) AS digest FROM (<docs>)".replace("{chunk_text}", "' || chr(123) || 'chunk_text' || chr(125) || '"))
 def prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return A.files(spark, sf).select("doc_id", R.prompt_for(F.col("text")).endswith(F.col("text")).alias("whole"))
+    return A.files(spark, sf).select("doc_id", F.sha2(R.prompt_for(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
 @query("q_entity_norm", "SELECT id, ek AS entity_key FROM (<claims>)")
@@ -329,11 +306,12 @@ def is_percentage(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", C.is_percentage(unit, metric).alias("pct"))
 
 
-@query("q_metric_overlap", f"SELECT DISTINCT a.metric AS a, b.metric AS b, CAST({_OVERLAP} AS DOUBLE) AS overlap FROM (SELECT DISTINCT metric, tk FROM (<claims>)) a, (SELECT DISTINCT metric, tk FROM (<claims>)) b")
+@query("q_metric_overlap", f"SELECT DISTINCT a.metric AS a, b.metric AS b, CAST({_OVERLAP} AS DOUBLE) AS overlap FROM (SELECT DISTINCT metric, tk FROM (<claims>)) a JOIN (SELECT DISTINCT metric, tk FROM (<claims>)) b ON list_has_any(a.tk, b.tk)")
 def metric_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    names = A.facts(spark, sf).select("metric", C.metric_tokens(F.col("metric")).alias("t")).distinct().withColumn("k", F.lit(1))
-    a, b = names.select("k", F.col("metric").alias("a"), F.col("t").alias("x")), names.select("k", F.col("metric").alias("b"), F.col("t").alias("y"))
-    return a.join(b, "k").select("a", "b", C.token_overlap(F.col("x"), F.col("y")).alias("overlap"))  # a handful of metric names
+    """Of all metrics that share a word; others overlap by nothing."""
+    names = A.facts(spark, sf).select("metric", C.metric_tokens(F.col("metric")).alias("t")).distinct().withColumn("w", F.explode("t"))
+    a, b = names.select("w", F.col("metric").alias("a"), F.col("t").alias("x")), names.select("w", F.col("metric").alias("b"), F.col("t").alias("y"))
+    return a.join(b, "w").select("a", "b", C.token_overlap(F.col("x"), F.col("y")).alias("overlap")).distinct()
 
 
 @query("q_dedupe_facts", f"SELECT id FROM ({DEDUPED_SQL})")
@@ -369,18 +347,29 @@ def by_type(spark: SparkSession, sf: str) -> DataFrame:
     return V.relationships(A.facts(spark, sf))[0]
 
 
-@query("q_evidence", f"{_ALL_SQL} SELECT ids, len(string_split(ids, '|')) AS n FROM every WHERE regexp_matches(ids, '(^|\\|)(R7|R17|R70|R77)-')")
+@query("q_evidence", f"{_ALL_SQL} SELECT ids, len(string_split(ids, '|')) AS n FROM every")
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     found = L.with_evidence(L.relationships(A.facts(spark, sf)), A.facts(spark, sf))
-    wanted = F.exists("evidence", lambda e: e["entity"].isin(*[f"Supplier#{k} Limited" for k in (7, 17, 70, 77)]))
-    return found.where(wanted).select(F.array_join(F.transform("evidence", lambda e: e["fact_id"]), "|").alias("ids"), F.size("evidence").cast("bigint").alias("n"))
+    return found.select(F.array_join(F.transform("evidence", lambda e: e["fact_id"]), "|").alias("ids"), F.size("evidence").cast("bigint").alias("n"))
 
 
-@query("q_all_evidence", f"{_ALL_SQL} SELECT ids, len(string_split(ids, '|')) AS n FROM every")
-def all_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """The evidence of every relation; q_evidence has that of four suppliers."""
-    found = L.with_evidence(L.relationships(A.facts(spark, sf)), A.facts(spark, sf))
-    return found.select(F.array_join(F.transform("evidence", lambda e: e["fact_id"]), "|").alias("ids"), F.size("evidence").cast("bigint").alias("n"))
+@query("q_relations_of_entity", f"{_ALL_SQL} SELECT relation_type, count(*) AS n FROM every JOIN (SELECT id, entity FROM d) f ON f.id = split_part(ids, '|', 1) WHERE contains(lower(f.entity), 'r#1') GROUP BY 1")
+def relations_of_entity(spark: SparkSession, sf: str) -> DataFrame:
+    return V.relationships(A.facts(spark, sf), entity="R#1")[0]
+
+
+@query(
+    "q_relations_page",
+    f"""WITH d AS (SELECT *, min(struct_pack(a := first_, b := fact_seq)) OVER (PARTITION BY ek) AS lead_ FROM ({DEDUPED_SQL})),
+every AS ({NUMERIC_SQL} UNION ALL {SEMANTIC_SQL}),
+placed AS (SELECT ids, a.lead_ AS l, a.first_ AS f1, a.fact_seq AS s1, b.first_ AS f2, b.fact_seq AS s2
+           FROM every JOIN d a ON a.id = split_part(ids, '|', 1) JOIN d b ON b.id = split_part(ids, '|', 2) WHERE relation_type = 'contradiction')
+SELECT ids FROM placed ORDER BY l, f1, s1, f2, s2 LIMIT 150""",
+)
+def relations_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The first contradictions in order."""
+    found = V.relationships(A.facts(spark, sf), relation_type="contradiction", limit=150)[1]
+    return found.select(F.array_join("fact_ids", "|").alias("ids"))
 
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -424,15 +413,8 @@ def fact_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return V.fact(A.facts(spark, sf), "O64-1").select("id", "entity", "value")
 
 
-@query("q_rejections", "SELECT chunk_id, 'parse' AS stage FROM (<responses>) WHERE CAST(chunk_id AS BIGINT) % 10 = 4 ORDER BY chunk_id LIMIT 20")
+@query("q_rejections", "SELECT chunk_id, stage FROM (SELECT chunk_id, CASE WHEN CAST(chunk_id AS BIGINT) % 10 IN (3, 7) THEN 'shape' ELSE 'parse' END AS stage, unnest(CASE WHEN CAST(chunk_id AS BIGINT) % 10 IN (3, 7) THEN [1, 2] ELSE [1] END) AS i FROM (<responses>) WHERE CAST(chunk_id AS BIGINT) % 10 IN (3, 4, 5, 6, 7, 9)) ORDER BY chunk_id, stage LIMIT 20")
 def rejections(spark: SparkSession, sf: str) -> DataFrame:
-    table = R.rejections_of(R.candidates(A.responses(spark, sf).where("CAST(chunk_id AS BIGINT) % 10 = 4"))).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
-    return V.rejections(table, limit=20).select("chunk_id", "stage")
-
-
-@query("q_all_rejections", "SELECT chunk_id, stage FROM (SELECT chunk_id, CASE WHEN CAST(chunk_id AS BIGINT) % 10 IN (3, 7) THEN 'shape' ELSE 'parse' END AS stage, unnest(CASE WHEN CAST(chunk_id AS BIGINT) % 10 IN (3, 7) THEN [1, 2] ELSE [1] END) AS i FROM (<responses>) WHERE CAST(chunk_id AS BIGINT) % 10 IN (3, 4, 5, 6, 7, 9)) ORDER BY chunk_id, stage LIMIT 20")
-def all_rejections(spark: SparkSession, sf: str) -> DataFrame:
-    """The view over the rejections of all responses; q_rejections has one kind of fault."""
     table = R.rejections_of(R.candidates(A.responses(spark, sf))).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
     return V.rejections(table, limit=20).select("chunk_id", "stage")
 
@@ -466,3 +448,75 @@ SELECT doc_id || ':' || CAST(chunk_index AS VARCHAR) AS id FROM r WHERE r % grea
 )
 def sample_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return V.sampled_chunks(H.chunk_pages(A.pages(spark, sf)), 2).select("id")
+
+
+@query("q_page_text", "SELECT text FROM (<pages>) WHERE doc_id = '4' AND page_number = 1")
+def page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return V.page_text(A.pages(spark, sf), "4", 1)
+
+
+@query("q_existence", "SELECT o_orderkey, 'O' || CAST(o_orderkey * 2 AS VARCHAR) || '-1' IN (SELECT id FROM (<facts>)) AS known FROM {orders}")
+def existence(spark: SparkSession, sf: str) -> DataFrame:
+    asked = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.concat(F.lit("O"), (F.col("o_orderkey") * 2).cast("string"), F.lit("-1")).alias("id"))
+    return V.existence(asked, A.facts(spark, sf), "id").select("o_orderkey", "known")
+
+
+_RANGES_SQL = """s AS (SELECT doc_id, page_number, sum(length(text) + 2) OVER w - length(text) - 2 AS a, sum(length(text) + 2) OVER w - 2 AS b FROM (<pages>) WINDOW w AS (PARTITION BY doc_id ORDER BY page_number)),
+r AS (SELECT c.doc_id, c.n - 1 AS chunk_index, min(page_number) AS lo, max(page_number) AS hi FROM (<chunks>) c JOIN s ON s.doc_id = c.doc_id AND a < end_ AND b > start_ GROUP BY 1, 2)"""
+
+
+@query("q_first_chunk", f"WITH {_RANGES_SQL} SELECT CAST(doc_id AS BIGINT) AS rank, doc_id || ':' || CAST(min(chunk_index) AS VARCHAR) AS id FROM r WHERE 2 BETWEEN lo AND hi GROUP BY doc_id")
+def first_chunk(spark: SparkSession, sf: str) -> DataFrame:
+    required = A.files(spark, sf).select(F.col("doc_id").cast("bigint").alias("rank"), "doc_id", F.lit(2).alias("page_number"))
+    return V.first_covering_chunk(H.chunk_pages(A.pages(spark, sf)), required).select("rank", "id")
+
+
+@query(
+    "q_priority_extraction",
+    f"""WITH {_RANGES_SQL},
+need AS (SELECT doc_id, chunk_index FROM r WHERE 2 BETWEEN lo AND hi),
+rest AS (SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS c FROM r WHERE (doc_id, chunk_index) NOT IN (SELECT (doc_id, chunk_index) FROM need))
+SELECT doc_id || ':' || CAST(chunk_index AS VARCHAR) AS id FROM (SELECT doc_id, chunk_index FROM need UNION ALL SELECT doc_id, chunk_index FROM rest WHERE i % greatest(1, c // 2) = 0 AND i // greatest(1, c // 2) < 2)""",
+)
+def priority_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    required = A.files(spark, sf).select(F.col("doc_id").cast("bigint").alias("rank"), "doc_id", F.lit(2).alias("page_number"))
+    return W.priority_chunks(H.chunk_pages(A.pages(spark, sf)), required, 2).select("id")
+
+
+def quoting_model(prompt: str) -> str:
+    """A stand-in for a model: claims one thing of the passage, with a quote, and adds something that is no claim."""
+    passage = prompt.split("Passage:\n", 1)[1]
+    return json.dumps([{"entity": "A", "metric": "m", "fact_type": "numeric", "quote": passage[199:259]}, 7])
+
+
+@query(
+    "q_extraction",
+    """WITH s AS (SELECT doc_id, page_number, text, sum(length(text) + 2) OVER w - length(text) - 2 AS a, sum(length(text) + 2) OVER w - 2 AS b FROM (<pages>) WINDOW w AS (PARTITION BY doc_id ORDER BY page_number)),
+q AS (SELECT doc_id || ':' || CAST(n - 1 AS VARCHAR) AS id, doc_id, substr(text, 200, 60) AS quote, start_, end_ FROM (<chunks>)),
+h AS (SELECT id, bool_or(contains(trim(regexp_replace(s.text, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g')))) AS hit
+      FROM q JOIN s ON s.doc_id = q.doc_id AND a < end_ AND b > start_ GROUP BY id),
+o AS (SELECT CASE WHEN length(trim(quote, ' ' || chr(9) || chr(10) || chr(13))) < 12 THEN 'shape' WHEN hit THEN 'fact' ELSE 'grounding' END AS outcome FROM q JOIN h ON h.id = q.id UNION ALL SELECT 'shape' FROM q)
+SELECT outcome, count(*) AS n FROM o GROUP BY outcome""",
+)
+def extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of a model's claims about every chunk become facts, and where the others are rejected."""
+    pages = A.pages(spark, sf)
+    got = W.extract(H.chunk_pages(pages), pages, spark.createDataFrame([], S.RESPONSES), quoting_model)
+    outcomes = got["rejections"].select(F.col("stage").alias("outcome")).unionByName(got["facts"].select(F.lit("fact").alias("outcome")))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q_ingest",
+    """WITH f AS (SELECT sha256(text) AS content_hash, min(filename) AS filename FROM (<docs>) GROUP BY 1),
+d AS (SELECT t.doc_id, t.filename FROM (<docs>) t JOIN f ON f.filename = t.filename),
+p AS (SELECT doc_id, count(*) AS pages, coalesce(string_agg(CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 40 THEN CAST(page_number AS VARCHAR) END, ',' ORDER BY page_number), '') AS low FROM (<pages>) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS chunks FROM (<chunks>) GROUP BY doc_id)
+SELECT t.filename, d.doc_id IS NOT NULL AS ingested, CASE WHEN d.doc_id IS NULL THEN 0 ELSE p.pages END AS pages, CASE WHEN d.doc_id IS NULL THEN 0 ELSE coalesce(c.chunks, 0) END AS chunks, CASE WHEN d.doc_id IS NULL THEN '' ELSE p.low END AS low_text_pages
+FROM (<docs>) t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN p ON p.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id""",
+)
+def ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Ingest of all documents: which are new, their pages, chunks and pages of low text."""
+    files = A.files(spark, sf)
+    tables = W.ingest(files, A.pages(spark, sf))
+    return W.ingest_report(files, tables).select("filename", "ingested", "pages", "chunks", F.array_join("low_text_pages", ",").alias("low_text_pages"))

@@ -68,6 +68,19 @@ def fact(facts: DataFrame, fact_id: str) -> DataFrame:
     return facts.where(F.col("id") == fact_id)
 
 
+def existing(found: DataFrame, what: str) -> DataFrame:
+    """The same rows, or a LookupError if there are none: the answer for an unknown document or fact."""
+    if found.isEmpty():
+        raise LookupError(f"no such {what}")
+    return found
+
+
+def existence(asked: DataFrame, table: DataFrame, key: str, of: str = "id") -> DataFrame:
+    """asked's rows with known: whether the table has a row whose `of` is asked's key."""
+    have = table.select(F.col(of).alias(key)).distinct().withColumn("known", F.lit(True))
+    return asked.join(have, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def relationships(facts: DataFrame, relation_type: str = "", entity: str = "", limit: int = 200) -> tuple[DataFrame, DataFrame]:
     """The number of each type after the filters, and the first relations in order."""
     _limits(limit, most=2000)
@@ -91,6 +104,12 @@ def covering_chunks(chunks: DataFrame, required: DataFrame) -> DataFrame:
     return hit.groupBy("id").agg(F.min(F.struct("rank", "chunk_index")).alias("__at")).select("id", F.col("__at.rank").alias("rank"), F.col("__at.chunk_index").alias("chunk_index"))
 
 
+def first_covering_chunk(chunks: DataFrame, required: DataFrame) -> DataFrame:
+    """rank and id of the first chunk, in the document's order, that covers each required page (rank, doc_id, page_number)."""
+    hit = chunks.join(required.select("rank", F.col("doc_id").alias("__doc"), "page_number"), (F.col("doc_id") == F.col("__doc")) & F.col("page_number").between(F.col("page_start"), F.col("page_end")))
+    return hit.groupBy("rank").agg(F.min_by("id", "chunk_index").alias("id"))
+
+
 def sampled_chunks(chunks: DataFrame, per_doc: int, exclude: DataFrame | None = None) -> DataFrame:
     """Evenly spaced chunks of each document, per_doc at most."""
     from pyspark.sql import Window

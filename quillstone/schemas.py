@@ -19,6 +19,15 @@ PAGE_BREAK = "\n\n"
 QUOTE_CHARS = 12
 RAW_CHARS = 2000
 PROMPT_VERSION = "v1"
+FENCE = r"^```(?:json)?\s*|\s*```$"
+NO_ARRAY = "no JSON array found in response"
+BAD_JSON = "response is not valid JSON: {}"
+NOT_ARRAY = "expected a JSON array, got {}"
+NOT_OBJECT = "candidate is not an object: {}"
+MISSING = "missing or blank field: {}"
+UNKNOWN_TYPE = "unknown fact_type: {}"
+SHORT_QUOTE = "quote too short to be evidence"
+BAD_CONFIDENCE = "confidence is not a number"
 FACT_TYPES = ("numeric", "semantic")
 REQUIRED_FIELDS = ("entity", "metric", "fact_type", "quote")
 OPTIONAL_FIELDS = ("value", "unit", "period_label", "period_start", "period_end", "basis", "status")
@@ -41,9 +50,9 @@ LEAST_UNION = 3
 
 ENTITY_STOP = ("mr", "mrs", "ms", "dr", "the", "limited", "ltd", "inc", "llp", "pvt", "private", "company", "co")
 METRIC_STOP = (
-    "a", "address", "amount", "an", "and", "as", "at", "balance", "basis", "by", "closing", "consolidated", "cost", "costs",
-    "expense", "expenses", "for", "from", "gross", "in", "is", "net", "number", "of", "office", "on", "opening", "or", "role",
-    "standalone", "status", "the", "this", "to", "total", "value", "was", "were", "with",
+    "the", "a", "an", "of", "for", "on", "in", "and", "or", "to", "as", "basis", "from", "with", "at", "is", "was", "were", "status", "role",
+    "by", "this", "total", "amount", "number", "value", "net", "gross", "balance", "closing", "opening", "expense", "expenses", "cost", "costs",
+    "standalone", "consolidated", "office", "address",
 )
 PERCENT_UNITS = ("percent", "%", "per cent")
 PERCENT_WORDS = ("growth", "rate", "ratio", "margin", "deficit", "inflation", "yield", "participation", "percentage")

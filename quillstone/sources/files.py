@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,34 @@ from ..operators.identity import upsert, with_identity
 from ..operators.pages import with_metrics
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """doc_id, filename, file_path, content_hash, content of every file under path, by name."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    named = raw.select(F.substring_index("path", "/", -1).alias("filename"), F.col("path").alias("file_path"), "content")
+def input_paths(spark: SparkSession, inputs: list[str], ending: str = ".pdf", warn: Callable[[str], None] | None = None) -> tuple[list[str], list[str]]:
+    """Of files and folders the folders, and the files with the ending in any case; others are told to warn."""
+    folders, own = [], []
+    for raw in inputs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(raw)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path) and fs.getFileStatus(path).isDirectory():
+            folders.append(raw)
+        elif raw.lower().endswith(ending) and fs.exists(path):
+            own.append(raw)
+        elif warn:
+            warn(f"skipped (no {ending} file): {raw}")
+    return folders, own
+
+
+def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*.pdf", warn: Callable[[str], None] | None = None) -> DataFrame:
+    """doc_id, filename, file_path, content_hash, content of every file: named ones, and those under folders that fit the pattern.
+
+    A file counts once, however often it is named.
+    """
+    folders, own = input_paths(spark, [path] if isinstance(path, str) else path, pattern.removeprefix("*").lower(), warn)
+    reader = lambda: spark.read.format("binaryFile")
+    parts = [reader().option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folders)] if folders else []
+    parts += [reader().load(own)] if own else []
+    if not parts:
+        return spark.createDataFrame([], "doc_id string, filename string, file_path string, content_hash string, content binary")
+    named = reduce(DataFrame.unionByName, parts).select(F.substring_index("path", "/", -1).alias("filename"), F.col("path").alias("file_path"), "content")
+    named = named.dropDuplicates(["file_path"]) if len(parts) > 1 or len(folders) > 1 else named
     return with_identity(named).select("doc_id", "filename", "file_path", "content_hash", "content")
 
 
@@ -72,16 +97,22 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Writes beside the old table and swaps the folders, so readers never see half a table."""
+    """Writes beside the old table and swaps the folders by renaming, the old one going last."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(f"{path}.new"), fs_path(path))
+    old, new, here = fs_path(f"{path}.old"), fs_path(f"{path}.new"), fs_path(path)
+    fs.delete(old, True)
+    if fs.exists(here) and not fs.rename(here, old):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(new, here):
+        fs.rename(old, here)
+        raise OSError(f"{path} could not be published")
+    fs.delete(old, True)
 
 
 def upsert_table(spark: SparkSession, new: DataFrame, path: str, *keys: str) -> None:
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     have = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    publish(upsert(spark.read.parquet(path), new, *keys) if have else new.dropDuplicates(list(keys)), path)
+    publish(upsert(spark.read.parquet(path) if have else new.limit(0), new, *keys), path)
