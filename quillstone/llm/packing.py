@@ -123,7 +123,7 @@ def strongest(ids: np.ndarray, offs: np.ndarray, strength: np.ndarray, most: int
 
 
 def labels(tokens: DataFrame, df: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """node, label, t0, t1, ...: of each distinct text the label of its subject and its strongest terms.
+    """node, n (its copies), label, t0, t1, ...: of each distinct text the label of its subject and its strongest terms.
 
     A term that one document alone has, or more than half of all, leads nowhere. Every text is posted
     under all pairs of its strongest terms; it links to the smallest text (the smallest itself to the
@@ -144,7 +144,8 @@ def labels(tokens: DataFrame, df: np.ndarray, idf: np.ndarray) -> DataFrame:
                 yield pa.record_batch({"node": some.column(0), **{t: top[:, i] for i, t in enumerate(terms)}, **{f"p{i}": power[:, i] for i in range(STRONGEST)}})
 
     schema = "node long, " + ", ".join(f"{t} int" for t in terms) + ", " + ", ".join(f"p{i} double" for i in range(STRONGEST))
-    texts = checkpoint(tokens.where("node IS NOT NULL").select("node", "n_tokens", "ids").mapInArrow(run, schema).dropDuplicates(["node"]))
+    texts = tokens.where("node IS NOT NULL").select("node", "n_tokens", "ids").mapInArrow(run, schema)
+    texts = checkpoint(texts.groupBy("node").agg(*[F.first(c).alias(c) for c in texts.columns if c != "node"], F.count("*").alias("copies")))
     pair = lambda i, j: F.struct(F.least(f"t{i}", f"t{j}").alias("a"), F.greatest(f"t{i}", f"t{j}").alias("b"), (F.col(f"p{i}") + F.col(f"p{j}")).alias("power"))
     posted = texts.select("node", F.explode(F.array(*[pair(i, j) for i, j in combinations(range(STRONGEST), 2)])).alias("key")).where("key.a >= 0").select("node", "key.*")
     lists = posted.groupBy("a", "b").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max("power").alias("power"), F.count("*").alias("n")).where("least < most")
@@ -163,7 +164,7 @@ def labels(tokens: DataFrame, df: np.ndarray, idf: np.ndarray) -> DataFrame:
     for _ in range(ROUNDS):
         step = checkpoint(follow(step, step).select("node", F.col("then").alias("to")))
     last = follow(step, links).select("node", F.least("to", "then").alias("label"))
-    return texts.join(last, "node", "left").select("node", F.coalesce("label", "node").alias("label"), *terms)
+    return texts.join(last, "node", "left").select("node", F.col("copies").alias("n"), F.coalesce("label", "node").alias("label"), *terms)
 
 
 class _Bm25:
@@ -298,10 +299,10 @@ def pack(docs: DataFrame, tokenizer: str, work: str, end_id: int = 2, window: in
         if names:
             yield flush()
 
-    found = labels(tokens, df, idf)
+    found = checkpoint(labels(tokens, df, idf))
     # labels are dealt by their hash, so that long documents do not lie side by side
     by = [F.xxhash64("label"), F.col("label"), *[F.col(f"t{i}") for i in range(STRONGEST)], F.col("node"), F.col("doc_id")]
-    placed = tokens.where("node IS NOT NULL").join(found, "node")
+    placed = join_groups(tokens.where("node IS NOT NULL"), found, ["node"], n, "doc_id")
     dealt = placed.repartitionByRange(pieces(docs, 16 << 20), *by).sortWithinPartitions(*by)
     return dealt.select("doc_id", "n_tokens", "ids").mapInArrow(run, PIECES + ", ids binary" * include_ids)
 
