@@ -2,15 +2,17 @@
 
 Every document's non-overlapping blocks of `window` // 2 words are indexed and probed with every
 rolling window of that length: a run of `window` equal words in two documents always holds a whole
-indexed block of one of them. Around the hits, all windows of `window` words are compared by
-64-bit hashes; adjoining windows that occur earlier make up the maximal exact repeats.
+indexed block of one of them. Around the hits the windows of `window` words meet by 64-bit hashes and
+learn the smallest document that has them; adjoining windows of one such source make a hit extended
+as far as it goes. These maximal runs go to their source, whose words are compared with theirs, and only what
+is equal word by word is a repeat.
 
 Texts are dealt once, by hash of the id, into chunks of bounded size. What chunks exchange are packed
 arrays: for each chunk and bucket 32-bit block hashes one way and one bit per hash back (is the
-block in another chunk?), then 64-bit hashes of the windows near hits with their first document and
-one bit back (is an earlier document known?). Both orders follow from the texts, so no positions
-travel, nothing is expanded into pairs, and a passage shared by a third of all documents is spread
-over all buckets like any other words.
+block in another chunk?), then 64-bit hashes of the windows near hits with their first document, and
+the sources of those that an earlier document has; at last the words of each run once for each chunk and source, and bits
+back. The order of hashes follows from the texts, so no positions travel, nothing is expanded into
+pairs, and a passage shared by a third of all documents is spread over all buckets like any other words.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, load, pieces, slices, strings, window_hashes, word_hashes, word_spans
+from .common import buffer_of, checkpoint, join_groups, load, pieces, shared_dir, slices, strings, window_hashes, word_hashes, word_spans
 
 WINDOW = 50
 _FIRST = -(1 << 63)
@@ -29,7 +31,7 @@ _FIRST = -(1 << 63)
 class _Chunk:
     """The words of one chunk's documents, in (doc_id, text) order, without those of documents shorter than a window."""
 
-    def __init__(self, table: pa.Table, window: int, buckets: int) -> None:
+    def __init__(self, table: pa.Table, window: int, buckets: int, hashed: bool = True) -> None:
         table = table.combine_chunks()
         self.texts = strings(table["text"])
         ids = table["doc_id"].combine_chunks().fill_null(_FIRST).to_numpy()
@@ -44,13 +46,14 @@ class _Chunk:
         for _, part in slices(self.texts, 1 << 20):
             raw, offs = buffer_of(part)
             starts, ends, first = word_spans(raw, offs)
-            hashes.append(word_hashes(raw, starts, ends))
+            hashes.append(word_hashes(raw, starts, ends) if hashed else np.zeros(0, np.uint64))
             counts.append(np.diff(first))
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.used = np.flatnonzero(self.counts >= window)
-        self.words = words[np.repeat(self.counts >= window, self.counts)]
+        self.words = words[np.repeat(self.counts >= window, self.counts)] if hashed else words
         self.size = self.counts[self.used]
+        self.total = int(self.size.sum())
         self.first = np.cumsum(self.size) - self.size
 
     def _places(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +151,16 @@ def _packed_bits(flags: np.ndarray, size: np.ndarray) -> list[bytes]:
     return [np.packbits(flags[a:b]).tobytes() for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
 
 
+_KINDS = {"probes": pa.binary(), "blocks": pa.binary(), "windows": pa.binary(), "names": pa.binary(), "firsts": pa.binary()}
+#: What a run is known by: its source and 128 bits of its words.
+_RUN = ["source", "k1", "k2"]
+_REPLY = "chunk long, bucket long, " + ", ".join(f"{k} binary" for k in _KINDS)
+
+
+def _reply(chunk: pa.Array, bucket: pa.Array, **columns: list[bytes]) -> pa.Table:
+    return pa.table({"chunk": chunk, "bucket": bucket, **{k: pa.array(columns[k], t) if k in columns else pa.nulls(len(chunk), t) for k, t in _KINDS.items()}})
+
+
 def match_blocks(key: tuple, table: pa.Table) -> pa.Table:
     """One bucket of block hashes: which occur in another chunk, as a block or under a probe."""
     probe, probe_chunk, probe_size = _groups(table, "probes", "<u4")
@@ -166,20 +179,88 @@ def match_blocks(key: tuple, table: pa.Table) -> pa.Table:
         np.maximum.at(most, k, own)
         b = np.searchsorted(keys, block)
         hot = (least[b] != block_chunk) | (most[b] != block_chunk)
-    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "probes": pa.array(_packed_bits(hit, probe_size), pa.binary()), "blocks": pa.array(_packed_bits(hot, block_size), pa.binary()), "windows": pa.nulls(table.num_rows, pa.binary())})
+    return _reply(table["chunk"], table["bucket"], probes=_packed_bits(hit, probe_size), blocks=_packed_bits(hot, block_size))
 
 
 def match_windows(key: tuple, table: pa.Table) -> pa.Table:
-    """One bucket of window hashes: which have an earlier document in another chunk."""
+    """One bucket of window hashes: which have an earlier document in another chunk, and the first such document."""
     value, _, size = _groups(table, "windows", "<u8")
     ids = np.concatenate([np.frombuffer(names.as_buffer(), "<i8")[np.frombuffer(index.as_buffer(), "<u4")] for names, index in zip(table["names"], table["firsts"], strict=True)])
     keys, inverse = np.unique(value, return_inverse=True)
     least = np.full(len(keys), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, ids)
-    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "probes": pa.nulls(table.num_rows, pa.binary()), "blocks": pa.nulls(table.num_rows, pa.binary()), "windows": pa.array(_packed_bits(least[inverse] < ids, size), pa.binary())})
-
-
-_REPLY = "chunk long, bucket long, probes binary, blocks binary, windows binary"
+    least = least[inverse]
+    earlier, ends = least < ids, np.cumsum(size)
+    names, firsts = [], []
+    for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):
+        own, index = np.unique(least[a:b][earlier[a:b]], return_inverse=True)
+        names.append(own.astype("<i8").tobytes())
+        firsts.append(index.astype("<u4").tobytes())
+    return _reply(table["chunk"], table["bucket"], windows=_packed_bits(earlier, size), names=names, firsts=firsts)
+
+
+class _Repeats:
+    """The windows of a chunk that an earlier document's hash has, as maximal runs of adjoining windows of one source."""
+
+    def __init__(self, chunk: _Chunk, replies: pa.Table) -> None:
+        self.chunk = chunk
+        second = replies.filter(replies["windows"].is_valid())
+        places, docs, values = chunk.near(replies.filter(replies["probes"].is_valid()))
+        keys, source, inverse, bucket, order = chunk.first_of(docs, values)
+        earlier = _bits(second, "windows", bucket[order])
+        told = {b: np.frombuffer(n.as_buffer(), "<i8")[np.frombuffer(i.as_buffer(), "<u4")] for b, n, i in zip(second["bucket"].to_pylist(), second["names"], second["firsts"], strict=True)}
+        for b, at, to in _parts(bucket[order]):
+            if b in told:
+                source[order[at:to][earlier[at:to]]] = told[b]
+        source = source[inverse]
+        gone = source < chunk.ids[chunk.used[docs]]
+        self.places, self.docs, self.source = places[gone], docs[gone], source[gone]
+        cut = (np.diff(self.docs) != 0) | (np.diff(self.source) != 0) | (np.diff(self.places) != 1)
+        self.first = np.concatenate([[0], np.flatnonzero(cut) + 1]).astype(np.int64) if len(self.places) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.first, len(self.places)))
+        held: dict[tuple[int, bytes], int] = {}
+        self.claim, doc, words = np.zeros(len(self.first), np.int64), -1, []
+        for i, (a, n) in enumerate(zip(self.first.tolist(), self.size.tolist(), strict=True)):
+            if self.docs[a] != doc:
+                doc = self.docs[a]
+                words = chunk.texts[int(chunk.used[doc])].as_buffer().to_pybytes().split()
+            at = int(self.places[a] - chunk.first[doc])
+            self.claim[i] = held.setdefault((int(self.source[a]), b" ".join(words[at : at + n + chunk.window - 1])), len(held))
+        self.claims = list(held)
+
+    def packed(self) -> bytes:
+        """The first window, the number of windows and the claim of every run."""
+        return np.stack([self.places[self.first], self.size, self.claim], 1).astype("<i8").tobytes()
+
+
+def equal_windows(runs: np.ndarray, bits: dict[int, pa.Scalar]) -> np.ndarray:
+    """Places of the windows of these runs (first, windows, claim) whose words are those of their source."""
+    out = [np.zeros(0, np.int64)]
+    for a, n, c in runs.tolist():
+        raw = np.frombuffer(bits[c].as_buffer(), np.uint8)
+        out.append(a + (np.flatnonzero(np.unpackbits(raw, count=n)) if len(raw) else np.arange(n)))
+    return np.concatenate(out)
+
+
+def compare(table: pa.Table, asked: pa.Table, window: int) -> pa.Table:
+    """For each run (words joined by blanks) that is said to be in a document of this chunk: no bytes if all of it is, else a bit for each window."""
+    texts = strings(table["text"])
+    place: dict[int, list[int]] = {}
+    for i, x in enumerate(table["doc_id"].combine_chunks().fill_null(_FIRST).to_pylist()):
+        place.setdefault(x, []).append(i)
+    held: tuple[int | None, bytes] = (None, b"")
+    out = []
+    asked = asked.sort_by("source")
+    for source, raw in zip(asked["source"].to_pylist(), asked["words"], strict=True):
+        if held[0] != source:  # a line break is no word, so no run goes from one text of an id to the next
+            held = source, b" \n ".join(b" " + b" ".join(texts[i].as_buffer().to_pybytes().split()) + b" " for i in place.get(source, []))
+        whole = raw.as_buffer().to_pybytes()
+        if b" " + whole + b" " in held[1]:
+            out.append(b"")
+            continue
+        words = whole.split(b" ")
+        out.append(np.packbits([b" " + b" ".join(words[i : i + window]) + b" " in held[1] for i in range(len(words) - window + 1)]).tobytes())
+    return asked.select([*_RUN, "n"]).append_column("equal", pa.array(out, pa.binary()))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame:
@@ -189,7 +270,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
     with a smaller doc_id, judged on the input. A null id counts as the smallest; rows of one id never
     remove each other's words. Null, empty and blank texts have no words; texts under `window` words
     stay whole. An empty table gives no rows; other columns are ignored, but for those named in carry,
-    which come back as they were in a struct, row.
+    which come back as they were in a struct, row. Memory of a task follows the chunk and its longest text.
     """
     parts = pieces(docs, 4 << 20)
     buckets = parts
@@ -217,18 +298,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
             firsts.append(index.astype("<u4").tobytes())
         return messages(key[0].as_py(), parts_, windows=_cut(keys[order], parts_), names=names, firsts=firsts)
 
-    def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+    def claim(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, buckets)
-        seconds = replies.filter(replies["windows"].is_valid())
-        places, docs_, values = chunk.near(replies.filter(replies["probes"].is_valid()))
-        keys, first, inverse, bucket, order = chunk.first_of(docs_, values)
-        earlier = np.zeros(len(keys), bool)
-        earlier[order] = _bits(seconds, "windows", bucket[order])
-        gone = places[earlier[inverse] | (first[inverse] < chunk.ids[chunk.used[docs_]])]
-        steps = np.zeros(len(chunk.words) + window + 1, np.int32)
+        found = _Repeats(chunk, replies)
+        n = len(found.claims)  # the last row has the runs themselves, which stay with the chunk
+        return pa.table({"chunk": pa.array([key[0].as_py()] * (n + 1), pa.int64()), "claim": pa.array([*range(n), -1], pa.int64()), "source": pa.array([*(x for x, _ in found.claims), 0], pa.int64()), "words": pa.array([*(w for _, w in found.claims), found.packed()], pa.binary())})
+
+    def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        chunk = _Chunk(table, window, buckets, hashed=False)
+        told = dict(zip(replies["claim"].to_pylist(), replies["words"], strict=True))
+        gone = equal_windows(np.frombuffer(told.pop(-1).as_buffer(), "<i8").reshape(-1, 3), told)
+        steps = np.zeros(chunk.total + window + 1, np.int32)
         np.add.at(steps, gone, 1)
         np.add.at(steps, gone + window, -1)
-        cover = np.cumsum(steps)[: len(chunk.words)] > 0
+        cover = np.cumsum(steps)[: chunk.total] > 0
         removed = np.zeros(len(chunk.counts), np.int64)
         removed[chunk.used] = np.add.reduceat(cover, chunk.first) if len(chunk.used) else 0
         place = np.zeros(len(chunk.counts), np.int64)
@@ -249,9 +332,19 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
     sent = dealt.groupBy("chunk").applyInArrow(send_blocks, "chunk long, bucket long, probes binary, blocks binary")
     hits = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(match_blocks, _REPLY)
     sent = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, "chunk long, bucket long, windows binary, names binary, firsts binary")
-    earlier = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(match_windows, _REPLY)
+    replies = hits.unionByName(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(match_windows, _REPLY))
+    asked = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(claim, "chunk long, claim long, source long, words binary")
+    path = f"{shared_dir(docs.sparkSession)}/runs"
+    asked.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), "words")}).write.option("compression", "zstd").parquet(path)
+    kept = docs.sparkSession.read.parquet(path)
+    asked = kept.where("claim >= 0")
+    # a run that many chunks have of one source is compared once
+    once = asked.groupBy(*_RUN).agg(F.first("words").alias("words"), F.count("*").alias("n")).withColumn("to", F.pmod(F.xxhash64(F.when(F.col("source") != _FIRST, F.col("source"))), F.lit(parts)))
+    compared = dealt.groupBy("chunk").cogroup(once.groupBy("to")).applyInArrow(lambda key, table, rows: compare(table, rows, window), "source long, k1 long, k2 long, n long, equal binary")
+    told = join_groups(asked.select("chunk", "claim", *_RUN), checkpoint(compared), _RUN, asked.count(), "chunk")
+    told = told.select("chunk", "claim", F.col("equal").alias("words")).unionByName(kept.where("claim < 0").select("chunk", "claim", "words"))
     schema = "".join(f"{h} {rows.schema[h].dataType.simpleString()}, " for h in held) + "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start: long, end: long>>"
-    out = dealt.groupBy("chunk").cogroup(hits.unionByName(earlier).groupBy("chunk")).applyInArrow(remove, schema)
+    out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, schema)
     row = F.struct(*(F.col(h).alias(c) for c, h in zip(carry, held, strict=True))).alias("row")
     return out.select("doc_id", "n_words", "n_removed", "kept", "repeats", *([row] if carry else []))
 

@@ -124,6 +124,63 @@ def test_token_files_round_trip(spark, odd, tmp_path):
         assert ids[real].tolist() == flat[256 * i : 256 * (i + 1)].tolist() and len(ids) == 256
 
 
+def test_token_files_of_null_and_repeated_ids_and_none(spark, tmp_path):
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(2, "b c", "s"), (None, "x y", "s"), (2, "a", "s"), (2, "b c", "s"), (None, None, "s")]
+    df = table(spark, rows).withColumns({"start": F.lit(9), "file": F.lit("f"), "part": F.lit(1)})
+    token_files.write_token_files(df, f"file://{tmp_path}/t", tokenizer)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(spark, f"file://{tmp_path}/t").collect())
+    at = 0
+    for (start, doc, n, crc), (i, text) in zip(got, [(None, ""), (None, "x y"), (2, "a"), (2, "b c"), (2, "b c")], strict=True):
+        want = brute.ids(text)
+        assert (start, doc, n, crc) == (at, i, len(want), zlib.crc32(want.tobytes()))
+        at += n
+    token_files.write_token_files(df.limit(0), f"file://{tmp_path}/none", tokenizer)
+    assert token_files.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_packing_of_null_and_repeated_ids_and_none(spark, tmp_path):
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(2, "b c", "s"), (None, "x y", "s"), (2, "a", "s"), (2, "b c", "s"), (None, None, "s")] + [(9, "one hot text of it", "s")] * 500
+    df = table(spark, rows).withColumns({"node": F.lit(1), "label": F.lit(2), "n": F.lit(3), "t0": F.lit(4)})
+    got = packing.pack(df, tokenizer, f"file://{tmp_path}/p", include_ids=True).collect()
+    assert sum(r["length"] for r in got) == sum(len(brute.ids(t)) for _, t, _ in rows)
+    assert sorted(str(r["doc_id"]) for r in got if r["start"] == 0) == sorted(str(i) for i, _, _ in rows)
+    assert packing.pack(df.limit(0), tokenizer, f"file://{tmp_path}/none").count() == 0
+
+
+def test_packing_labels_near_copies_alike(spark, tmp_path):
+    """Of the texts whose BM25-best other text is nearly as good a match as the text itself, both ways, nine in ten have its label."""
+    import public_tokenizers
+
+    docs = load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    tokens = packing.tokenised(docs, f"file://{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json")).persist()
+    df, n, size = packing.document_frequencies(tokens)
+    idf, mean = np.maximum(0, np.log((n - df + 0.5) / (df + 0.5))), size / n
+    label = {r["node"]: r["label"] for r in packing.labels(tokens, df, idf).collect()}
+    rows = tokens.where("node IS NOT NULL").dropDuplicates(["node"]).collect()
+    index = packing._Bm25([packing._ids(bytes(r["ids"]), r["n_tokens"]) for r in rows], idf, mean)
+    scores = np.array([index.scores(i) for i in range(len(rows))])
+    share = scores / np.maximum(1e-9, scores.diagonal()[:, None])
+    np.fill_diagonal(share, 0)
+    close = [(i, int(j)) for i, j in enumerate(np.minimum(share, share.T).argmax(1)) if min(share[i, j], share[j, i]) >= 0.8]
+    found = [label[rows[i]["node"]] == label[rows[j]["node"]] for i, j in close]
+    print("near copies", len(found), "found", np.mean(found))
+    assert len(found) > 10 and np.mean(found) >= 0.9
+
+
+def test_packing_tries_every_neighbour_whole():
+    """100 neighbours that are too long to fit come before one that fits."""
+    rng = np.random.default_rng(3)
+    texts = [np.arange(60)] + [np.concatenate([np.arange(20), rng.integers(100, 4000, 80)]) for _ in range(100)] + [np.concatenate([np.arange(8), rng.integers(100, 4000, 32)])]
+    idf = np.full(4001, 2.0)
+    assert [d for d, _, _ in packing.pack_shard(list(range(102)), texts, idf, 100.0, window=101)[0]][:2] == [0, 101]
+
+
 def test_packing_places_every_token_once(spark, odd, tmp_path):
     import public_tokenizers
 
@@ -187,6 +244,22 @@ def test_substring_dedup(spark, odd):
     assert sum(s["end"] - s["start"] for s in some["repeats"]) == some["n_removed"] and some["row"]["kind"] == "x"
 
 
+def test_runs_are_compared_word_by_word(monkeypatch, spark):
+    """Window hashes that take every text for the same one find runs; their words tell them apart."""
+    one, two, three = passage(21, 60), passage(22, 60), passage(21, 60)
+    monkeypatch.setattr(substring, "window_hashes", lambda words, n: np.full(max(0, len(words) - n + 1), n, np.uint64))
+    table_ = pa.table({"doc_id": [1, 2, 3], "text": [" ".join(x) for x in (one, two, [*three, "z"])]})
+    chunk = substring._Chunk(table_, 50, 1)
+    hits = substring.match_blocks((), pa.table({"chunk": pa.array([0, 9]), "bucket": pa.array([0, 0]), "probes": pa.array([np.full(n, 25, "<u4").tobytes() for n in (len(chunk.probes()[0]), 1)]), "blocks": pa.array([np.full(n, 25, "<u4").tobytes() for n in (len(chunk.probes()[3]), 1)])}))
+    found = substring._Repeats(chunk, hits.filter(pa.array([True, False])))
+    assert {s for s, _ in found.claims} == {1} and set(found.docs.tolist()) == {1, 2}
+    asked = pa.table({"source": [s for s, _ in found.claims], "k1": range(len(found.claims)), "k2": range(len(found.claims)), "n": [1] * len(found.claims), "words": pa.array([w for _, w in found.claims], pa.binary())})
+    told = substring.compare(table_, asked, 50)
+    bits = dict(zip(told["k1"].to_pylist(), told["equal"], strict=True))
+    gone = substring.equal_windows(np.frombuffer(found.packed(), "<i8").reshape(-1, 3), bits)
+    assert gone.tolist() == list(range(120, 131))
+
+
 def test_substring_dedup_of_repeated_and_null_ids(spark):
     long = " ".join(passage(7, 60))
     df = table(spark, [(1, long, "a"), (1, long, "a"), (None, long, "a"), (2, long + " tail", "a")])
