@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, checkpoint, join_groups, load, pieces, shared_dir, slices, strings, window_hashes, word_hashes, word_spans
+from .common import buffer_of, load, pieces, shared_dir, slices, strings, window_hashes, word_hashes, word_spans
 
-WINDOW = 50
+#: Words of a window; copies of each answer about a run.
+WINDOW, SALTS = 50, 8
 _FIRST = -(1 << 63)
 
 
@@ -260,7 +261,7 @@ def compare(table: pa.Table, asked: pa.Table, window: int) -> pa.Table:
             continue
         words = whole.split(b" ")
         out.append(np.packbits([b" " + b" ".join(words[i : i + window]) + b" " in held[1] for i in range(len(words) - window + 1)]).tobytes())
-    return asked.select([*_RUN, "n"]).append_column("equal", pa.array(out, pa.binary()))
+    return asked.select(_RUN).append_column("equal", pa.array(out, pa.binary()))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame:
@@ -339,9 +340,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, carry: tuple = ()) -> DataFrame
     kept = docs.sparkSession.read.parquet(path)
     asked = kept.where("claim >= 0")
     # a run that many chunks have of one source is compared once
-    once = asked.groupBy(*_RUN).agg(F.first("words").alias("words"), F.count("*").alias("n")).withColumn("to", F.pmod(F.xxhash64(F.when(F.col("source") != _FIRST, F.col("source"))), F.lit(parts)))
-    compared = dealt.groupBy("chunk").cogroup(once.groupBy("to")).applyInArrow(lambda key, table, rows: compare(table, rows, window), "source long, k1 long, k2 long, n long, equal binary")
-    told = join_groups(asked.select("chunk", "claim", *_RUN), checkpoint(compared), _RUN, asked.count(), "chunk")
+    once = asked.groupBy(*_RUN).agg(F.first("words").alias("words")).withColumn("to", F.pmod(F.xxhash64(F.when(F.col("source") != _FIRST, F.col("source"))), F.lit(parts)))
+    compared = dealt.groupBy("chunk").cogroup(once.groupBy("to")).applyInArrow(lambda key, table, rows: compare(table, rows, window), "source long, k1 long, k2 long, equal binary")
+    # copies of the answers keep a run that every chunk asks for from being one task's
+    salted = compared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = asked.select("chunk", "claim", *_RUN, F.pmod(F.xxhash64("chunk"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, [*_RUN, "salt"])
     told = told.select("chunk", "claim", F.col("equal").alias("words")).unionByName(kept.where("claim < 0").select("chunk", "claim", "words"))
     schema = "".join(f"{h} {rows.schema[h].dataType.simpleString()}, " for h in held) + "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<start: long, end: long>>"
     out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, schema)
