@@ -192,12 +192,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
     edges = cell_edges(held)
     packed = held.repartition(pieces(vectors, 32 << 20)).mapInArrow(_pack(edges, block), "dim int, n int, h1 binary, h2 binary, first binary, single binary, cells binary")
     found = checkpoint(packed.mapInArrow(_scan(edges, asked, k, queries), "qid long, qh1 long, qh2 long, dim int, h1 long, h2 long, upper double, lower double"))
+    # joins by merging: the blocks' list says nothing of how many bounds there are, so Spark must not take them for few
     nth = F.row_number().over(Window.partitionBy(*_QUERY).orderBy(F.desc("lower")))
     enough = found.select(*_QUERY, "lower").withColumn("nth", nth).where(F.col("nth") <= k).groupBy(*_QUERY).agg(F.min("lower").alias("enough"), F.count("*").alias("of"))
-    left = checkpoint(found.join(enough, _QUERY).where((F.col("of") < k) | (F.col("upper") >= F.col("enough"))).select(*_QUERY, "h1", "h2", "upper"))
+    left = checkpoint(found.join(enough.hint("merge"), _QUERY).where((F.col("of") < k) | (F.col("upper") >= F.col("enough"))).select(*_QUERY, "h1", "h2", "upper"))
     # exact vectors of what is left; one that many queries ask for is broadcast (at most a thousand are)
-    asks = left.groupBy(*_KEY).agg(F.count("*").alias("n")).join(held, _KEY)
-    read = join_groups(left, asks, _KEY, left.count(), "qid").join(wanted, _QUERY)
+    asks = left.groupBy(*_KEY).agg(F.count("*").alias("n")).join(held.hint("merge"), _KEY)
+    read = join_groups(left, asks, _KEY, left.count(), "qid").join(wanted.hint("merge"), _QUERY)
 
     def exact(key: tuple, table: pa.Table) -> pa.Table:
         dim = table["dim"][0].as_py()
