@@ -207,7 +207,8 @@ def resolved(chunks: DataFrame) -> DataFrame:
         raise ValueError("a response's payload is not what its header states")
     named = ends.where(~own).select(F.col("refers_to").alias("page_id"), F.col("stated_digest").alias("digest"), F.col("stated_bytes").alias("bytes")).distinct()
     there = ends.where(own).select("page_id", F.col("digest_so_far").alias("digest"), F.col("bytes_so_far").alias("bytes"))
-    if not named.join(there, ["page_id", "digest", "bytes"], "left_anti").isEmpty():
+    # the archives' list says nothing of their records' size, so Spark must not take them for small
+    if not named.join(there.hint("merge"), ["page_id", "digest", "bytes"], "left_anti").isEmpty():
         raise ValueError("a revisit names no response with its payload")
     return ends.select("page_id", F.when(own, F.col("bytes_so_far")).otherwise(F.col("stated_bytes")).alias("payload_bytes"), F.when(own, F.col("digest_so_far")).otherwise(F.col("stated_digest")).alias("payload_digest"), "record_type", "refers_to")
 
