@@ -50,6 +50,11 @@ def normalized(text: Column) -> Column:
     return F.when(plain, _simple(text)).otherwise(_folded(F.when(~plain, text)))
 
 
+def spaced(text: Column) -> Column:
+    """Runs of blanks, tabs and line ends are one blank; letters stay as they are."""
+    return F.trim(F.regexp_replace(text, r"[\t\n\f\r ]+", " "))
+
+
 def match_form(text: Column) -> Column:
     plain = text.rlike(ASCII)
     return F.when(plain, F.lower(_simple(text))).otherwise(_matched(F.when(~plain, text)))

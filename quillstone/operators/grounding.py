@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,15 +16,16 @@ def quote_on_page(quote: Column, page: Column) -> Column:
     return F.contains(match_form(page), match_form(quote))
 
 
-def ground(quotes: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+def ground(quotes: DataFrame, pages: DataFrame, key: str, form: Callable[[Column], Column] = match_form, strip: Callable[[Column], Column] = stripped) -> DataFrame:
     """Adds grounded, page_number, printed_page and reason to quotes (key, doc_id, page_start, page_end, quote).
 
     The first page in order that contains the normalised quote counts. Pages are normalised once, and
     quotes are joined to the pages of their range alone; only the key travels through the aggregate.
+    form is the spelling in which quotes and pages are compared, strip what a quote's length leaves out.
     """
-    own = quotes.withColumn("__long", F.length(stripped(F.coalesce("quote", F.lit("")))) >= S.QUOTE_CHARS)
-    asked = own.where("__long").select(key, F.col("doc_id"), "page_start", "page_end", match_form(F.col("quote")).alias("__quote"))
-    shown = pages.select("doc_id", "page_number", "printed_page", match_form(F.coalesce("text", F.lit(""))).alias("__page"))
+    own = quotes.withColumn("__long", F.length(strip(F.coalesce("quote", F.lit("")))) >= S.QUOTE_CHARS)
+    asked = own.where("__long").select(key, F.col("doc_id"), "page_start", "page_end", form(F.col("quote")).alias("__quote"))
+    shown = pages.select("doc_id", "page_number", "printed_page", form(F.coalesce("text", F.lit(""))).alias("__page"))
     inside = (asked["doc_id"] == shown["doc_id"]) & shown["page_number"].between(asked["page_start"], asked["page_end"])
     pairs = asked.join(shown, inside).select(key, "page_number", "printed_page", F.contains("__page", "__quote").alias("__hit"))
     found = pairs.groupBy(key).agg(F.min(F.when(F.col("__hit"), F.struct("page_number", "printed_page"))).alias("__first"))
