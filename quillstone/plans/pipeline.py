@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import match_form
 from ..operators import chunks as C
 from ..operators import grounding as G
 from ..operators import identity as I
@@ -41,20 +42,20 @@ def ingest_report(files: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return told.select("filename", "doc_id", F.coalesce("ingested", F.lit(False)).alias("ingested"), zero["pages"], zero["chunks"], F.coalesce("low_text_pages", F.array().cast("array<int>")).alias("low_text_pages"), zero["printed_pages"])
 
 
-def outcomes(chunks: DataFrame, pages: DataFrame, cache: DataFrame) -> dict[str, DataFrame]:
-    """facts (in good shape and grounded, each id once) and rejections (parse, shape and grounding) of the chunks' stored responses."""
+def outcomes(chunks: DataFrame, pages: DataFrame, cache: DataFrame, form: Callable[[Column], Column] = match_form) -> dict[str, DataFrame]:
+    """facts (in good shape and grounded in that form, each id once) and rejections (parse, shape and grounding) of the chunks' stored responses."""
     answered = R.cached(chunks, cache).where("response_text IS NOT NULL")
     rows = R.candidates(answered.select("doc_id", F.col("id").alias("chunk_id"), "response_text"))
     ranges = chunks.select(F.col("id").alias("chunk_id"), "page_start", "page_end", "chunk_index")
     good = R.shaped(rows).join(ranges, "chunk_id").withColumn("__key", F.concat_ws("#", "chunk_id", "pos"))
-    facts, bad = G.split_outcome(G.ground(good, pages, "__key"))
+    facts, bad = G.split_outcome(G.ground(good, pages, "__key", form))
     return {"facts": I.first_of_each(facts.drop("__key"), "pos", "id"), "rejections": R.rejections_of(rows).unionByName(bad)}
 
 
-def extract(chunks: DataFrame, pages: DataFrame, cache: DataFrame, call: Callable[[str], str]) -> dict[str, DataFrame]:
+def extract(chunks: DataFrame, pages: DataFrame, cache: DataFrame, call: Callable[[str], str], form: Callable[[Column], Column] = match_form) -> dict[str, DataFrame]:
     """facts, rejections and the new cache rows (answers), all lazy. run_extraction() stores the answers first, so that each is paid once."""
     answers = R.answered(R.misses(chunks, cache), call)
-    return {"answers": answers} | outcomes(chunks, pages, R.stored(cache, answers))
+    return {"answers": answers} | outcomes(chunks, pages, R.stored(cache, answers), form)
 
 
 def run_extraction(chunks: DataFrame, pages: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], call: Callable[[str], str], keep: Callable[[dict[str, DataFrame]], None], slices: int = 1, on_progress: Callable[[int, int], None] | None = None) -> dict[str, int]:
