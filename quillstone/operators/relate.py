@@ -1,8 +1,8 @@
 """Relationships between facts: corroboration, contradiction, reconciliation.
 
-Candidates come from equi-joins on the entity and a shared word of the metric, for numeric facts on the
-year and on being a percentage as well; every threshold on the words' overlap is above 0, so none is
-lost. Three-way sums meet on the bucket, a shared word and the bin of the missing addend. A fact's
+Candidates share the entity and a word of the metric, numeric facts the year and being a percentage as
+well; every threshold on the words' overlap is above 0, so none is lost. Small groups are joined whole,
+large ones on the words. Three-way sums meet on the bucket, a shared word and the bin of the missing addend. A fact's
 place in order, pos, is its bucket's first fact_seq and its own. Evidence is attached at the end.
 """
 
@@ -21,29 +21,33 @@ from ..functions.text import stripped
 EVIDENCE = ("doc_id", "entity", "metric", "value", "period_label", "basis", "status", "page_number", "printed_page", "quote")
 #: Powers of two: figures up to twice 2^46 have bins of 2^(46 - 49), larger ones of their own exponent less 49.
 _SCALE, _STEPS = 46, 49
+#: Groups of up to this many facts are joined whole, larger ones by their words.
+FEW = 32
+#: What the rules read of a fact.
+_READ = ("id", "entity_key", "fact_type", "tokens", "num", "year", "day", "pct", "basis_key", "meaning", "value", "period_label")
 _HELD: WeakKeyDictionary[SparkSession, DataFrame] = WeakKeyDictionary()
 
 
-def dedupe(facts: DataFrame) -> DataFrame:
+def dedupe(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One fact for each statement extracted twice; facts come back with claims and pos, their place in order.
 
     Facts of one document, page, entity and value are taken in order of fact_seq; one goes if its
     quote equals, holds or is held by that of one already kept. Equal quotes are one before they are
-    compared, and only buckets with several are; id, quote and place alone pass that step. Empty
-    quotes equal none.
+    compared, and only buckets with several are. Empty quotes equal none. Rows pass those steps
+    themselves, so none is read or joined twice; keep names the columns wanted (none: all).
     """
     rows = with_claims(facts.drop("pos")).withColumns({"__e": flat(F.col("entity")), "__v": flat(F.col("value"))})
     bucket = ["doc_id", "page_number", "__e", "__v"]
+    row = F.struct(*(keep or [c for c in rows.columns if not c.startswith("__")]))
     own = F.when(F.col("quote_form") == "", F.struct("fact_seq", "id"))
-    one = rows.groupBy(*bucket, F.col("quote_form").alias("q"), own.alias("own")).agg(F.min(F.struct("fact_seq", "id")).alias("f"))
-    some = F.array_sort(F.collect_list(F.when(F.col("q") != "", F.struct("f.fact_seq", "f.id", "q"))))
-    blank = F.collect_list(F.when(F.col("q") == "", F.struct("f.fact_seq", "f.id", "q")))
+    one = rows.groupBy(*bucket, F.col("quote_form").alias("q"), own.alias("own")).agg(F.min(F.struct("fact_seq", "id")).alias("f"), F.min_by(row, F.struct("fact_seq", "id")).alias("row"))
+    some = F.array_sort(F.collect_list(F.when(F.col("q") != "", F.struct("f.fact_seq", "f.id", "q", "row"))))
+    blank = F.collect_list(F.when(F.col("q") == "", F.struct("f.fact_seq", "f.id", "q", "row")))
     of = one.groupBy(*bucket).agg(some.alias("all"), blank.alias("blank"), F.min("f.fact_seq").alias("first"))
     clash = lambda acc, x: F.exists(acc, lambda k: F.contains(k["q"], x["q"]) | F.contains(x["q"], k["q"]))
     folded = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
     kept = F.concat(F.when(F.size("all") > 1, folded).otherwise(F.col("all")), "blank")
-    ids = of.select("first", F.explode(kept).alias("k")).select(F.struct("first", F.col("k.fact_seq").alias("seq")).alias("pos"), F.col("k.fact_seq").alias("__seq"), F.col("k.id").alias("__id"))
-    return rows.join(ids, (rows["fact_seq"] == ids["__seq"]) & (rows["id"] == ids["__id"])).drop("__e", "__v", "__seq", "__id")
+    return of.select("first", F.explode(kept).alias("k")).select("k.row.*", F.struct("first", F.col("k.fact_seq").alias("seq")).alias("pos"))
 
 
 def _bucket(entity: Column, year: Column | None = None, basis: Column | None = None) -> list[Column]:
@@ -70,8 +74,26 @@ def candidate_pairs(deduped: DataFrame, numeric: bool) -> DataFrame:
     else:
         rows, alike = deduped.where(~F.coalesce(kind, F.lit(False)) & F.col("fact_type").isNotNull() & (F.coalesce("value", F.lit("")) != "")), ["entity_key", "fact_type"]
         need = ["pos", "id", *alike, "tokens", "meaning"]
-    # the first shared word alone makes the pair, so pairs need no distinct
-    a, b = _sides(rows.select(*need).withColumn("t", F.explode("tokens")), [*need, "t"])
+    few, many = _by_size(rows.select(*need), alike)
+    return _pairs_of_few(few, alike, need).unionByName(_pairs_of_many(many, alike, need))
+
+
+def _by_size(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups of up to FEW, and those of larger ones."""
+    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FEW).drop("n")
+    return rows.join(large, keys, "left_anti").select(*rows.columns), rows.join(large, keys, "left_semi").select(*rows.columns)
+
+
+def _pairs_of_few(rows: DataFrame, alike: list[str], need: list[str]) -> DataFrame:
+    """All pairs of each group with a shared word."""
+    a, b = _sides(rows, need)
+    on = reduce(lambda x, c: x & (a[f"a_{c}"] == b[f"b_{c}"]), alike, a["a_pos"] < b["b_pos"])
+    return a.join(b, on).where((F.col("a_id") != F.col("b_id")) & F.arrays_overlap("a_tokens", "b_tokens"))
+
+
+def _pairs_of_many(rows: DataFrame, alike: list[str], need: list[str]) -> DataFrame:
+    """The same by a join on the words; the first shared one alone makes the pair, so pairs need no distinct."""
+    a, b = _sides(rows.withColumn("t", F.explode("tokens")), [*need, "t"])
     first = F.col("a_t") == F.array_min(F.array_intersect("a_tokens", "b_tokens"))
     on = reduce(lambda x, c: x & (a[f"a_{c}"] == b[f"b_{c}"]), alike, a["a_t"] == b["b_t"])
     return a.join(b, on).where((F.col("a_pos") < F.col("b_pos")) & (F.col("a_id") != F.col("b_id"))).where(first).drop("a_t", "b_t")
@@ -109,6 +131,10 @@ def additive(deduped: DataFrame) -> DataFrame:
     """Two facts that add up to a third of the same entity, year (or none) and basis, one of them sharing a word with it."""
     sums = deduped.where((F.col("fact_type") == "numeric") & ~F.col("pct") & F.col("num").isNotNull() & ~F.isnan("num") & (F.abs("num") < float("inf")))
     sums = sums.select("pos", "id", "entity_key", "year", "basis_key", "tokens", "num")
+    # a sum takes three facts, so smaller buckets have none
+    known = ["entity_key", F.coalesce("year", F.lit(-1)).alias("__year"), "basis_key"]
+    enough = sums.groupBy(*known).agg(F.count("*").alias("n")).where("n > 2").drop("n")
+    sums = sums.withColumn("__year", known[1]).join(enough, ["entity_key", "__year", "basis_key"], "left_semi").select(*sums.columns)
     near = lambda x, y: F.abs(x - y) <= F.lit(S.TOLERANCE)
     col = lambda s, c: F.col(f"{s}_{c}")
     side = lambda s: sums.select(*[F.col(c).alias(f"{s}_{c}") for c in sums.columns])
@@ -148,7 +174,7 @@ def relationships(facts: DataFrame) -> DataFrame:
     spark = facts.sparkSession
     if spark in _HELD:
         _HELD.pop(spark).unpersist()
-    deduped = _HELD[spark] = dedupe(facts).persist()
+    deduped = _HELD[spark] = dedupe(facts, _READ).persist()
     where = ["family", "of_entity", "of_year", "of_basis"]
     places = deduped.select(F.lit(0).alias("family"), *_bucket(F.col("entity_key")), "pos").unionByName(deduped.select(F.lit(1).alias("family"), *_bucket(F.col("entity_key"), F.col("year"), F.col("basis_key")), "pos"))
     both = pairwise(deduped).unionByName(additive(deduped))

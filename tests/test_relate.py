@@ -137,3 +137,18 @@ def test_views(spark):
     with pytest.raises(LookupError):
         V.existing(V.fact(df, "none"), "fact")
     assert V.existing(V.fact(df, "f3"), "fact").first()["entity"] == "Zed"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_facts_are_not_joined_again(spark):
+    df = spark.createDataFrame([fact(1)], COLUMNS)
+    assert "Join" not in _plan(L.dedupe(df)) and set(L.dedupe(df).columns) >= {*df.columns, "pos", "tokens"}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_small_and_large_groups_have_the_same_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(L, "FEW", few)
+    test_relations_against_all_pairs(spark)
