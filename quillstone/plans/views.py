@@ -86,10 +86,14 @@ def relationships(facts: DataFrame, relation_type: str = "", entity: str = "", l
     _limits(limit, most=2000)
     if relation_type and relation_type not in S.RELATIONS:
         raise ValueError(f"relation_type must be one of {S.RELATIONS}")
-    found = with_evidence(relate(facts), facts)
+    found = relate(facts)
     found = found.where(F.col("relation_type") == relation_type) if relation_type else found
-    found = found.where(F.exists("evidence", lambda e: holds(e["entity"], entity))) if entity else found
-    return found.groupBy("relation_type").agg(F.count("*").alias("n")), found.orderBy("order_key").limit(limit)
+    if entity:
+        of = facts.where(holds(F.col("entity"), entity)).select(F.col("id").alias("__id"))
+        found = found.withColumn("__id", F.explode("fact_ids")).join(of, "__id", "left_semi").select(*found.columns).distinct()
+    # evidence is attached to the page alone
+    page = with_evidence(found.orderBy("order_key").limit(limit), facts)
+    return found.groupBy("relation_type").agg(F.count("*").alias("n")), page.orderBy("order_key")
 
 
 def rejections(table: DataFrame, doc_id: str = "", limit: int = 200) -> DataFrame:

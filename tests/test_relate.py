@@ -152,3 +152,10 @@ def test_facts_are_not_joined_again(spark):
 def test_small_and_large_groups_have_the_same_pairs(spark, monkeypatch, few):
     monkeypatch.setattr(L, "FEW", few)
     test_relations_against_all_pairs(spark)
+
+
+def test_counts_need_no_evidence(spark):
+    df = spark.createDataFrame([fact(i, value=str(i)) for i in range(1, 4)], COLUMNS)
+    counts, page = V.relationships(df, entity="harbour", limit=2)
+    assert "__fact" not in _plan(counts) and {r["relation_type"]: r["n"] for r in counts.collect()} == {AGAINST: 3, APART: 1}
+    assert [[e["fact_id"] for e in r["evidence"]] for r in page.collect()] == [["f1", "f2"], ["f1", "f3"]]
