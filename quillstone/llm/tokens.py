@@ -17,7 +17,13 @@ from .common import SPACE, buffer_of, lower_ascii, ragged, slices, strings, word
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _STOP = np.zeros(256, bool)
-_STOP[list(b".,;:!?")] = True
+_STOP[list(b".,;:!?#$%&*")] = True
+#: Second bytes of the Latin-1 letters from U+00C0 on, whose first byte is 0xC3; the capitals among them.
+_LATIN = np.zeros(256, bool)
+_LATIN[128:192] = True
+_LATIN[[0x97, 0xB7]] = False
+_CAPITAL = _LATIN.copy()
+_CAPITAL[0x9F:] = False
 _BLANK = np.zeros(256, bool)
 _BLANK[list(SPACE)] = True
 
@@ -37,10 +43,14 @@ def worker_tokenizer(path: str) -> ColumnTokenizer:
 
 
 def parted(col: pa.Array) -> pa.Array:
-    """The texts in lower case (A-Z) with a space before stops that end a word after an ASCII letter; the ids stay the same."""
+    """The texts in lower case (ASCII, Latin-1) with a space before stops that end a word after such a letter; the ids stay the same."""
     raw, offs = buffer_of(col)
     if not len(raw):
         return col
+    letter = _LETTER[raw]
+    wide = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    wide = wide[_LATIN[raw[wide]]]
+    letter[wide] = True
     last = np.zeros(len(raw) + 1, bool)
     last[offs] = True
     ends = np.flatnonzero(_STOP[raw] & (last[1:] | np.concatenate([_BLANK[raw[1:]], [True]])))
@@ -52,9 +62,11 @@ def parted(col: pa.Array) -> pa.Array:
             break
         starts[back] -= 1
     ok = (starts > 0) & ~last[starts]
-    ok[ok] = _LETTER[raw[starts[ok] - 1]]
+    ok[ok] = letter[starts[ok] - 1]
     at = starts[ok]
-    out = np.insert(lower_ascii(raw), at, 32)
+    small = lower_ascii(raw)
+    small[wide[_CAPITAL[raw[wide]]]] += 32
+    out = np.insert(small, at, 32)
     moved = (offs + np.searchsorted(at, offs)).astype(np.int64)
     return pa.LargeStringArray.from_buffers(len(col), pa.py_buffer(moved), pa.py_buffer(out))
 

@@ -11,7 +11,7 @@ from quillstone.llm import fingerprints as FP
 from quillstone.llm import jaccard, mixing, packing, quality, substring, token_files, urlfilter, vafile, warc
 from quillstone.llm.common import buffer_of, load, window_hashes, word_hashes, word_spans
 from quillstone.llm.queries import ORACLES, QUERIES
-from quillstone.llm.tokens import ColumnTokenizer
+from quillstone.llm.tokens import ColumnTokenizer, parted
 
 from ..oracle import same
 from . import brute
@@ -102,6 +102,29 @@ def test_tokens_by_word_equal_whole_texts():
     assert a[1].tolist() == b[1].tolist() and a[0].tolist() == b[0].tolist()
 
 
+def test_tokens_meet_latin_words_without_their_stops_and_case():
+    col = pa.array(["Éa, ÞÉ. x×. ÷! ñ.$$$ ab&&&", "é.É ÀÖØß%", ""])
+    assert parted(col).to_pylist() == ["éa , þé . x×. ÷! ñ .$$$ ab &&&", "é.é àöøß %", ""]
+    import public_tokenizers
+
+    coder = ColumnTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    whole = [coder.encoder.encode(x, add_special_tokens=False).ids for x in col.to_pylist()]
+    ids, offs = coder.encode(col)
+    assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == whole
+
+
+def test_terms_and_strongest_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    for most in (1, 9, 50_000, 1 << 33):
+        rows = [rng.integers(0, most, n) for n in (0, 5, 40, 0, 300, 1, 0)]
+        ids, offs = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        assert list(zip(*(x.tolist() for x in packing._terms(ids, offs)), strict=True)) == [(i, t) for i, r in enumerate(rows) for t in sorted(set(r.tolist()))]
+        if most <= 50_000:
+            strength = rng.integers(0, 4, most).astype(float)
+            want = [sorted({t for t in r.tolist() if strength[t] > 0}, key=lambda t: (-strength[t], t))[:4] for r in rows]
+            assert packing.strongest(ids, offs, strength).tolist() == [w + [-1] * (4 - len(w)) for w in want]
+
+
 def test_token_files_round_trip(spark, odd, tmp_path):
     import public_tokenizers
 
