@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffer_of, checkpoint, load, lower_ascii, mix, slices, strings, word_hashes, word_spans
+from .common import buffer_of, checkpoint, load, lower_ascii, mix, ragged, slices, strings, word_hashes, word_spans
 
 #: Bound of the labelled rows, buckets of the word hash and of metadata, words a model uses, rounds, surety,
 #: what a class's pseudo-labelled rows weigh together against its labelled ones, sums added in one step of the tree.
@@ -40,6 +41,8 @@ PENALTY, META_PENALTY = 1.0, 5.0
 SURE = 0.98
 TRUST = 0.5
 FAN_IN = 16
+#: Rows of a design matrix that the driver makes at once.
+BLOCK = 1024
 HELD_OUT = 0.25
 QUESTIONS = ("low_quality", "toxic")
 _KINDS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\n\x0b\x0c", b".,;:?", b"!", b"|", b"#$%&*@^~=+<>", b"'\"()-")
@@ -102,19 +105,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, weight: np.ndarray | None = None, steps: int = 8) -> np.ndarray:
-    """Newton's method; the last coefficient is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+def _blocks(x: np.ndarray | View) -> Iterator[tuple[int, np.ndarray]]:
+    return x.blocks() if isinstance(x, View) else iter([(0, x)])
+
+
+def fit_logistic(x: np.ndarray | View, y: np.ndarray, penalty: float, weight: np.ndarray | None = None, steps: int = 8) -> np.ndarray:
+    """Newton's method; the last coefficient is the intercept, whose column a View has already."""
+    x = x if isinstance(x, View) else np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.width if isinstance(x, View) else x.shape[1])
     p = np.clip(np.average(y, weights=weight), 0.01, 0.99)
     w[-1] = np.log(p / (1 - p))
-    ridge = np.full(len(w), penalty)
-    ridge[-1] = 1e-6
     weight = np.ones(len(y)) if weight is None else weight
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        h = weight * np.maximum(p * (1 - p), 1e-6)
-        w = w + np.linalg.solve((x * h[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (y - p)) - ridge * w)
+        w = _step(w, *_sums(x, w, y, weight), penalty)
     return w
 
 
@@ -174,6 +177,10 @@ class Rows:
         whole = lambda col, kind, width: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in col)]).reshape(-1, width)
         return cls(np.concatenate([np.zeros(0, np.int64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64), whole(stats, "<f8", N_STATS), whole(meta, "<i8", 4))
 
+    def part(self, at: np.ndarray) -> Rows:
+        lens = np.diff(self.offs)[at]
+        return Rows(self.words[ragged(self.offs[:-1][at], lens)], np.concatenate([[0], np.cumsum(lens)]), self.stats[at], self.meta[at])
+
     def text(self, q: Question, vocabulary: np.ndarray) -> np.ndarray:
         """The text view's design matrix for a question."""
         column = np.full(len(vocabulary) + 1, -1)
@@ -192,10 +199,39 @@ class Rows:
         return out
 
 
-def _sums(x: np.ndarray, w: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class View:
+    """Rows of a design matrix with an intercept, made a block at a time: whole, it would be the driver's largest object."""
+
+    def __init__(self, rows: Rows, make: Callable[[Rows], np.ndarray], at: np.ndarray | None = None) -> None:
+        self.rows, self.make, self.at = rows, make, np.arange(rows.n) if at is None else at
+
+    @property
+    def width(self) -> int:
+        return self.make(self.rows.part(self.at[:0])).shape[1]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, use: np.ndarray) -> View:
+        return View(self.rows, self.make, self.at[use])
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        for i in range(0, len(self.at), BLOCK):
+            yield i, self.make(self.rows.part(self.at[i : i + BLOCK]))
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(x @ w for _, x in self.blocks())])
+
+
+def _sums(x: np.ndarray | View, w: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and second derivatives of the logistic likelihood at w."""
-    p = _sigmoid(x @ w)
-    return x.T @ (y - p), (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+    g, h = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for at, b in _blocks(x):
+        p = _sigmoid(b @ w)
+        own = 1.0 if weight is None else weight[at : at + len(b)]
+        g += b.T @ (own * (y[at : at + len(b)] - p))
+        h += (b * (own * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ b
+    return g, h
 
 
 def _step(w: np.ndarray, g: np.ndarray, h: np.ndarray, penalty: float) -> np.ndarray:
@@ -238,11 +274,11 @@ def cotrain(rows: Rows, vocabulary: np.ndarray, models: dict[str, Question], fin
     held-out loss does not rise by over a twentieth.
     """
     live = {name: q for name, q in models.items() if q.fitted}
-    text, meta = {name: rows.text(q, vocabulary) for name, q in live.items()}, rows.metadata()
+    text, meta = {name: View(rows, partial(Rows.text, q=q, vocabulary=vocabulary)) for name, q in live.items()}, View(rows, Rows.metadata)
     for name, q in live.items():
         y = answers[name]
-        q.set_text(fit_logistic(text[name][~held, :-1], y[~held], PENALTY))
-        q.meta = fit_logistic(meta[~held, :-1], y[~held], META_PENALTY)
+        q.set_text(fit_logistic(text[name][~held], y[~held], PENALTY))
+        q.meta = fit_logistic(meta[~held], y[~held], META_PENALTY)
         q.text_fit, q.meta_fit = _calibrated(text[name][held] @ q.text_weights, y[held]), _calibrated(meta[held] @ q.meta, y[held])
 
     def steps(q: Question, name: str, sums: np.ndarray | None, at: int, use: np.ndarray) -> tuple[list, int]:
@@ -282,10 +318,9 @@ def cotrain(rows: Rows, vocabulary: np.ndarray, models: dict[str, Question], fin
         q.combine = np.array([max(w[0], 0.1), w[1], w[2]])
     # the calibration stands; the views, with the words that all labelled rows choose, see the held-out rows too
     for name, q in live.items():
-        q.words = final[name]
-        text[name] = rows.text(q, vocabulary)
-        q.set_text(fit_logistic(text[name][:, :-1], answers[name], PENALTY))
-        q.meta = fit_logistic(meta[:, :-1], answers[name], META_PENALTY)
+        q.words = final[name]  # so the text view has other columns from here on
+        q.set_text(fit_logistic(text[name], answers[name], PENALTY))
+        q.meta = fit_logistic(meta, answers[name], META_PENALTY)
     sums, at = others(models) if live and rounds else None, 0
     for name, q in live.items() if sums is not None else ():
         (words, more), at = steps(q, name, sums, at, np.ones(rows.n, bool))

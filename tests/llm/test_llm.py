@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import fingerprints as FP
 from quillstone.llm import jaccard, mixing, packing, quality, substring, token_files, urlfilter, vafile, warc
-from quillstone.llm.common import buffer_of, load, window_hashes, word_hashes, word_spans
+from quillstone.llm.common import buffer_of, load, shingle_sets, window_hashes, word_hashes, word_spans
 from quillstone.llm.queries import ORACLES, QUERIES
 from quillstone.llm.tokens import ColumnTokenizer, parted
 
@@ -90,6 +91,60 @@ def test_words_whose_sums_cancel_stay_apart(spark):
     assert (apart[3], apart[4]) == (3, 4)
 
 
+def test_near_misses_of_a_large_group_are_told_apart_without_their_sets(spark):
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(160):  # two words of each are its own, so two texts differ in some 40 of 146 shingles and 32 may differ
+        own = list(words)
+        for at in random.Random(i).sample(range(4, 146), 2):
+            own[at] = f"x{i}-{at}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    join = jaccard._Join(df)
+    try:
+        reps = df.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("root"), join.chunk("doc_id").alias("chunk"))
+        found = {(r["a"], r["b"]) for r in join.cross_pairs(reps).collect()}
+    finally:
+        join.close()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    linked = {(i, j) for i in range(160) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {tuple(sorted(p)) for p in linked} <= {tuple(sorted(p)) for p in found}
+    assert len(found) - len(linked) < 0.2 * 160 * 159 / 2
+
+
+def test_shingle_sets_equal_plain_ones_per_text():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.choice((0, 1, 3, 4, 5, 6, 60)))) for _ in range(300)]
+    values, offs = shingle_sets(pa.array(texts))
+    sets = [values[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])]
+    plain = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(str.split, texts)]
+    assert [len(x) for x in sets] == [len(x) for x in plain] and all(x == sorted(x) for x in sets)
+    assert len({v for x in sets for v in x}) == len(set().union(*plain))
+
+
+def test_cotraining_holds_no_whole_design_matrix():
+    rng, n = np.random.default_rng(5), 12_000
+    answers = {q: (rng.random(n) < 0.2).astype(np.int64) for q in quality.QUESTIONS}
+    lens = rng.integers(0, 30, n)
+    rows = quality.Rows(rng.integers(0, 300, lens.sum()), np.concatenate([[0], np.cumsum(lens)]), rng.normal(size=(n, quality.N_STATS)), rng.integers(0, quality.META, (n, 4)))
+    words = np.arange(300)
+    models = {q: quality.Question(words=words[:192], fitted=True) for q in answers}
+    tracemalloc.start()
+    quality.cotrain(rows, words, models, {q: words[5:190] for q in answers}, answers, rng.random(n) < 0.25, lambda now: None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20  # 12,000 rows of 257 numbers are 25 MB, and a fit made four such tables
+
+
+def test_views_fit_as_whole_matrices():
+    rng, n = np.random.default_rng(6), 2500
+    lens = rng.integers(0, 9, n)
+    rows = quality.Rows(rng.integers(0, 40, lens.sum()), np.concatenate([[0], np.cumsum(lens)]), rng.normal(size=(n, quality.N_STATS)), rng.integers(0, quality.META, (n, 4)))
+    y, use = (rng.random(n) < 0.3).astype(np.int64), rng.random(n) < 0.7
+    view = quality.View(rows, quality.Rows.metadata)[use]
+    assert np.allclose(quality.fit_logistic(view, y[use], 5.0), quality.fit_logistic(rows.metadata()[use, :-1], y[use], 5.0))
+
+
 def test_tokens_by_word_equal_whole_texts():
     import public_tokenizers
 
