@@ -31,6 +31,8 @@ from .substring import _cut, _packed_bits, _parts, messages
 SHINGLE = 5
 NEIGHBOURHOODS = 4
 STARS = 4
+#: Groups of so many entries that share a signature, with so many pairs for each entry, are told apart by sketches of so many times the usual width.
+LARGE, WORTH, WIDER = 64, 16, 4
 _U = np.uint64
 _FIRST = -(1 << 63)
 
@@ -115,13 +117,13 @@ class _Records:
         return key, rec, deleted, probe_only, parts
 
 
-    def sketches(self, rec: np.ndarray, probe_only: np.ndarray) -> list[bytes]:
-        """Of record rec[i] in its own or the next band the parity of its shingles at sketch_bits() places.
+    def sketches(self, rec: np.ndarray, probe_only: np.ndarray, times: int = 1) -> list[bytes]:
+        """Of record rec[i] in its own or the next band the parity of its shingles at `times` sketch_bits() places.
 
         Two sketches of a band differ in at most as many bits as the sets' symmetric difference has members.
         """
         low = _bands(int(self.size.max(initial=1)))
-        bits = sketch_bits(low, np.searchsorted(low, self.size[rec], "right") - 1 + probe_only)
+        bits = times * sketch_bits(low, np.searchsorted(low, self.size[rec], "right") - 1 + probe_only)
         size = self.size[rec]
         base = np.cumsum(bits) - bits
         place = np.repeat(np.arange(len(rec)), size)
@@ -341,43 +343,57 @@ class _Join:
             return r, roots, keys, rec, deleted, probe_only, bucket, active, some
 
         def send_roots(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
-            _, roots, keys, rec, _, _, bucket, _, some = shared_entries(table, right)
+            _, roots, keys, rec, _, _, bucket, active, some = shared_entries(table, right)
             root, who, parts = [], [], _parts(bucket[some])
             for _, a, b in parts:
                 own, index = np.unique(roots[rec[some[a:b]]], return_inverse=True)
                 root.append(own.astype("<i8").tobytes())
                 who.append(index.astype("<u4").tobytes())
-            return messages(key[0].as_py(), parts, keys=_cut(keys[some], parts), roots=root, who=who)
+            asking = _packed_bits(active[some], np.array([b - a for _, a, b in parts], np.int64))
+            return messages(key[0].as_py(), parts, keys=_cut(keys[some], parts), roots=root, who=who, active=asking)
 
         def mixed(_: tuple, table: pa.Table) -> pa.Table:
-            """Which entries share their signature with another component."""
+            """Which entries share their signature with another component and a probe, and which of them in a large group of many pairs."""
             parts = [np.frombuffer(x.as_buffer(), "<u8") for x in table["keys"]]
             root = np.concatenate([np.frombuffer(x.as_buffer(), "<i8")[np.frombuffer(w.as_buffer(), "<u4")] for x, w in zip(table["roots"], table["who"], strict=True)])
             keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
             least, most = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
             np.minimum.at(least, inverse, root)
             np.maximum.at(most, inverse, root)
-            bits = _packed_bits((least < most)[inverse], np.array([len(p) for p in parts]))
+            size = np.array([len(p) for p in parts])
+            active = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(table["active"], size.tolist(), strict=True)])
+            n, asking = np.bincount(inverse), np.bincount(inverse, active)
+            shared = (least < most) & (asking > 0)
+            large = shared & (n >= LARGE) & (asking >= WORTH)
+            if large.any():  # pairs within a component are none
+                some = np.flatnonzero(large[inverse])
+                _, which = np.unique(root[some], return_inverse=True)
+                own, at, count = np.unique(inverse[some] * (which.max() + 1) + which, return_inverse=True, return_counts=True)
+                within = np.bincount(own // (which.max() + 1), np.bincount(at, active[some]) * count, len(n))
+                large &= asking * n - within >= WORTH * n
+            bits = [a + b for a, b in zip(_packed_bits(shared[inverse], size), _packed_bits(large[inverse], size), strict=True)]
             return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
         def send_shared(key: tuple, table: pa.Table, right: pa.Table) -> pa.Table:
             r, roots, keys, rec, deleted, probe_only, bucket, active, some = shared_entries(table, right)
             got = {n: s for k, n, s in zip(right["kind"].to_pylist(), right["n"].to_pylist(), right["s"], strict=True) if k == "mixed"}
-            bits = [np.unpackbits(np.frombuffer(got[b].as_buffer(), np.uint8), count=to - at) for b, at, to in _parts(bucket[some])]
-            some = some[np.concatenate(bits) > 0] if bits else some
-            drawn = np.unique(2 * rec[some] + probe_only[some])
-            sketch = dict(zip(drawn.tolist(), r.sketches(drawn >> 1, drawn & 1), strict=True))
-            names, sizes, root, who, flags, odd, parts = [], [], [], [], [], [], _parts(bucket[some])
+            bits = [[np.unpackbits(x, count=to - at) for x in np.frombuffer(got[b].as_buffer(), np.uint8).reshape(2, -1)] for b, at, to in _parts(bucket[some])]
+            mixed, large = (np.concatenate([np.zeros(0, np.uint8), *x]) > 0 for x in zip(*bits, strict=True)) if bits else (np.zeros(0, bool),) * 2
+            some, large = some[mixed], large[mixed]
+            code = 2 * rec[some] + probe_only[some]
+            sketch, wide = (dict(zip(drawn.tolist(), r.sketches(drawn >> 1, drawn & 1, times), strict=True)) for drawn, times in ((np.unique(code), 1), (np.unique(code[large]), WIDER)))
+            names, sizes, root, who, flags, odd, wider, parts = [], [], [], [], [], [], [], _parts(bucket[some])
             for _, a, b in parts:
-                own, index = np.unique(2 * rec[some[a:b]] + probe_only[some[a:b]], return_inverse=True)
+                own, index = np.unique(code[a:b], return_inverse=True)
                 odd.append(b"".join(sketch[x] for x in own.tolist()))
+                wider.append(b"".join(wide[x] for x in np.unique(code[a:b][large[a:b]]).tolist()))
                 own = own >> 1
                 names.append(r.ids[own].astype("<i8").tobytes())
                 sizes.append(r.size[own].astype("<u4").tobytes())
                 root.append(roots[own].astype("<i8").tobytes())
                 who.append(index.astype("<u4").tobytes())
-                flags.append((active[some[a:b]] + 2 * deleted[some[a:b]] + 4 * probe_only[some[a:b]]).astype(np.uint8).tobytes())
-            return messages(key[0].as_py(), parts, keys=_cut(keys[some], parts), names=names, sizes=sizes, roots=root, who=who, flags=flags, sketches=odd).drop_columns("chunk")
+                flags.append((active[some[a:b]] + 2 * deleted[some[a:b]] + 4 * probe_only[some[a:b]] + 8 * large[a:b]).astype(np.uint8).tobytes())
+            return messages(key[0].as_py(), parts, keys=_cut(keys[some], parts), names=names, sizes=sizes, roots=root, who=who, flags=flags, sketches=odd, wider=wider).drop_columns("chunk")
 
         def pairs(_: tuple, table: pa.Table) -> pa.Table:
             raw = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
@@ -386,15 +402,17 @@ class _Join:
             key, flags = np.concatenate(raw("keys", "<u8")), np.concatenate(raw("flags", np.uint8))
             ids, size, root = pick("names", "<i8"), pick("sizes", "<u4").astype(np.int64), pick("roots", "<i8")
             low = _bands(int(size.max(initial=1)))
-            words = sketch_bits(low, np.searchsorted(low, size, "right") - 1 + (flags >> 2)) // 64
+            words = sketch_bits(low, np.searchsorted(low, size, "right") - 1 + (flags >> 2 & 1)) // 64 * np.where(flags & 8, WIDER, 1)
             held, place, base = [], [], 0
-            for sizes, own, f, odd in zip(raw("sizes", "<u4"), who, raw("flags", np.uint8), raw("sketches", "<u8"), strict=True):
-                later = np.zeros(len(sizes), np.int64)
-                later[own] = f >> 2
+            for sizes, own, f, *odd in zip(raw("sizes", "<u4"), who, raw("flags", np.uint8), raw("sketches", "<u8"), raw("wider", "<u8"), strict=True):
+                later, wide = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+                later[own] = f >> 2 & 1
+                wide[own[f & 8 > 0]] = True
                 n = sketch_bits(low, np.searchsorted(low, sizes, "right") - 1 + later) // 64
-                place.append((base + np.cumsum(n) - n)[own])
-                base += len(odd)
-                held.append(odd)
+                m = n * WIDER * wide
+                place.append(base + np.where(f & 8, len(odd[0]) + (np.cumsum(m) - m)[own], (np.cumsum(n) - n)[own]))
+                base += len(odd[0]) + len(odd[1])
+                held += odd
             held, place = np.concatenate(held), np.concatenate(place)
             order = np.argsort(key, kind="stable")
             key, flags, ids, size, root, words, place = (x[order] for x in (key, flags, ids, size, root, words, place))
@@ -427,10 +445,10 @@ class _Join:
         sent = self.cogroup(right, send, "chunk long, bucket long, keys binary")
         levels = sent.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(count, "chunk long, bucket long, levels binary")
         more = right.unionByName(_tagged(levels, "chunk", kind="levels", n="bucket", s="levels"))
-        told = self.cogroup(more, send_roots, "chunk long, bucket long, keys binary, roots binary, who binary")
+        told = self.cogroup(more, send_roots, "chunk long, bucket long, keys binary, roots binary, who binary, active binary")
         bits = told.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(mixed, "chunk long, bucket long, bits binary")
         more = more.unionByName(_tagged(bits, "chunk", kind="mixed", n="bucket", s="bits"))
-        shared = self.cogroup(more, send_shared, "bucket long, keys binary, names binary, sizes binary, roots binary, who binary, flags binary, sketches binary")
+        shared = self.cogroup(more, send_shared, "bucket long, keys binary, names binary, sizes binary, roots binary, who binary, flags binary, sketches binary, wider binary")
         return checkpoint(shared.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct())
 
     def close(self) -> None:
