@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import jaccard, mixing, packing, quality, substring
-from quillstone.llm.common import WORD, load, shared_dir
+from quillstone.llm.common import WORD, few_files, load, shared_dir
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
     ids = keyed.select("__key", "doc_id").distinct().join(found, "__key")
     kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("least")).select(F.col("least.__key").alias("__key"))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns).coalesce(few_files(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

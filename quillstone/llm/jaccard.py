@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_groups, load, mix, pieces, remove_dir, shared_dir, shingle_sets, strings
+from .common import checkpoint, few_files, join_groups, load, mix, pieces, remove_dir, shared_dir, shingle_sets, strings
 from .substring import _cut, _packed_bits, _parts, messages
 
 SHINGLE = 5
@@ -204,13 +204,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, x long, y long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node, root: of every node of the edges (a, b) the smallest node that it is connected to.
 
-    Alternating large and small stars; each round is one checkpoint and the rounds grow with the
-    logarithm of the longest path.
+    Alternating large and small stars; each round is one checkpoint (of at most `files` files, if given)
+    and the rounds grow with the logarithm of the longest path.
     """
-    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), files)
     total, before = 2 * now.count(), None
 
     def starred(rows: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = starred(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         small = starred(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = checkpoint(small)
+        now = checkpoint(small, files)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -233,7 +233,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame) -> None:
         self.spark, self.parts = docs.sparkSession, pieces(docs, 4 << 20)
-        self.buckets = self.parts
+        self.buckets, self.files = self.parts, few_files(docs)
         rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), "text")
         self.name, self.path = f"quillstone_{uuid.uuid4().hex}", shared_dir(self.spark)
         dealt = rows.withColumn("chunk", self.chunk("doc_id")).repartition(self.parts, "chunk")
@@ -292,7 +292,7 @@ class _Join:
             return asked.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         right = _tagged(sets, "to", kind="set", b="b", s="s").unionByName(_tagged(pairs, "to", kind="pair", a="a", b="b"))
-        return checkpoint(self.cogroup(right, compare, "a long, b long"))
+        return checkpoint(self.cogroup(right, compare, "a long, b long").repartition(self.files))
 
     def cross_pairs(self, reps: DataFrame) -> DataFrame:
         """All pairs (probe, indexed) of different components that the allocation and the sketches leave to verify. reps: id, root, chunk."""
@@ -449,7 +449,7 @@ class _Join:
         bits = told.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(mixed, "chunk long, bucket long, bits binary")
         more = more.unionByName(_tagged(bits, "chunk", kind="mixed", n="bucket", s="bits"))
         shared = self.cogroup(more, send_shared, "bucket long, keys binary, names binary, sizes binary, roots binary, who binary, flags binary, sketches binary, wider binary")
-        return checkpoint(shared.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct())
+        return checkpoint(shared.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct(), self.files)
 
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -473,26 +473,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     different texts are one node. A null id counts as the smallest and is given back as null. An
     empty table gives no rows; other columns are ignored.
     """
-    rows = checkpoint(fingerprints(docs))
+    files = few_files(docs)
+    rows = checkpoint(fingerprints(docs).repartition(files))
     total = rows.count()
-    classes = checkpoint(rows.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")))
+    classes = checkpoint(rows.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), files)
     named = join_groups(rows, classes, ["n_shingles", "x", "y"], total, "doc_id", alone=F.col("n_shingles") == 0)
-    named = checkpoint(named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
+    named = checkpoint(named.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), files)
     # an id with several texts joins their classes
     twice = named.where("n_shingles > 0").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("a", "b")
     join = _Join(docs)
     try:
-        reps = checkpoint(classes.select(F.col("class_id").alias("id")).distinct().withColumn("chunk", join.chunk("id")))
-        links = checkpoint(join.verified(join.star_pairs(reps)).unionByName(twice))
-        roots = components(links)
+        reps = checkpoint(classes.select(F.col("class_id").alias("id")).distinct().withColumn("chunk", join.chunk("id")), files)
+        links = join.verified(join.star_pairs(reps)).unionByName(twice)
+        roots = components(links, files)
         known = reps.join(roots, F.col("id") == F.col("node"), "left").select("id", "chunk", F.coalesce("root", "id").alias("root"))
-        links = links.unionByName(join.verified(join.cross_pairs(checkpoint(known))))
+        links = links.unionByName(join.verified(join.cross_pairs(checkpoint(known, files))))
         sized = classes.groupBy("class_id").agg(F.sum("n").alias("n"))
-        roots = components(links).select(F.col("node").alias("class_id"), "root").join(sized, "class_id")
+        roots = components(links, files).select(F.col("node").alias("class_id"), "root").join(sized, "class_id")
         out = join_groups(named, roots, ["class_id"], total, "doc_id", alone=F.col("n_shingles") == 0)
         real = lambda c: F.when(F.col(c) != _FIRST, F.col(c))
         out = out.withColumn("root", F.coalesce("root", "class_id"))
-        return checkpoint(out.select(real("doc_id").alias("doc_id"), "n_shingles", real("class_id").alias("class_id"), real("root").alias("component_id")))
+        return checkpoint(out.select(real("doc_id").alias("doc_id"), "n_shingles", real("class_id").alias("class_id"), real("root").alias("component_id")), files)
     finally:
         join.close()
 

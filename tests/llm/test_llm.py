@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillstone.llm import fingerprints as FP
 from quillstone.llm import jaccard, mixing, packing, quality, substring, token_files, urlfilter, vafile, warc
 from quillstone.llm.common import buffer_of, load, shingle_sets, window_hashes, word_hashes, word_spans
@@ -690,6 +691,24 @@ def test_jaccard_of_repeated_and_null_ids(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies_keep_small_tables_in_few_files(spark, monkeypatch):
+    made, frame = [], type(spark.range(0))
+    monkeypatch.setattr(frame, "checkpoint", lambda df, eager, f=frame.checkpoint: (got := f(df, eager), made.append(got.rdd.getNumPartitions()))[0])
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + k}" for k in range(40)) + f" x{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = corpus_pipeline.near_copies(spark, docs, "")
+        made.append(kept.rdd.getNumPartitions())
+        got = {r["doc_id"] for r in kept.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {c for _, _, c in brute.components(rows)}
+    assert max(made) <= 8  # two files for each of four cores
+
+
 def test_allocation_has_enough_units():
     rng = np.random.default_rng(0)
     for _ in range(200):
